@@ -4,7 +4,7 @@ Documents are cut every ``window`` ids. Whole windows are sequences of their own
 into groups of about ``GROUP`` windows, and a group is packed in one task from lengths alone. Multiway differencing
 keeps partial partitions in a heap and joins the two with the largest imbalance, the largest sums of one with the
 smallest of the other; if a window then exceeds its capacity, the count of windows rises and the group is
-partitioned anew. One tail in sixteen is kept back and cut into powers of two; these fill what the windows leave
+partitioned anew. One tail in eight is kept back and cut into powers of two; these fill what the windows leave
 open, and the rest of them makes full windows and, at the end, sequences whose length is a power of two."""
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
 def pack(tails: list[int], window: int) -> list[list[tuple[int, int | None]]]:
     """Sequences as lists of (tail, chunk): chunk None for the whole tail, else the bit that the chunk stands for."""
     order = sorted(range(len(tails)), key=lambda i: (-tails[i], i))
-    spare, whole = order[::16], [i for n, i in enumerate(order) if n % 16]
+    spare, whole = order[::8], [i for n, i in enumerate(order) if n % 8]
     sizes = [tails[i] for i in whole]
     k = -(-sum(sizes) // window)
     sets = differencing(sizes, k)
