@@ -44,7 +44,30 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing(_read(spark, sf_dir, "documents"), tokenizer_json("word_bpe_49k.json"), 2048, 1)
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textvec.llm.block_topk import exact_topk
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return exact_topk(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textvec.llm.language_id import language_id
+
+    return language_id(_read(spark, sf_dir, "documents"))
+
+
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textvec.llm.graph_ann import nearest
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
+    "op8_language_id": op8_language_id,
+    "op10_graph_ann": op10_graph_ann,
     "op7_bpe_codec": op7_bpe_codec,
     "op9_packing": op9_packing,
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -73,3 +96,13 @@ select documents.doc_id, coalesce(count(d.pos), 0) as n_lines, coalesce(sum(case
   case when any_value(text) is null then null else coalesce(sum(length(line)) filter (where keep), 0) + greatest(coalesce(count(*) filter (where keep), 0) - 1, 0) end::bigint as kept_chars
 from documents left join d using (doc_id) group by documents.doc_id
 """
+
+SQL["op2_exact_topk"] = """
+with v as (
+  select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as w from embeddings
+  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0
+), q as (select distinct on (vec_id) * from v where vec_id % 100 = 0),
+s as (select q.vec_id as query_id, v.vec_id, list_sum([a[1] * a[2] for a in [[p[1], p[2]] for p in list_zip(q.w, v.w)]])::bigint as score from q join v on q.vec_id <> v.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
