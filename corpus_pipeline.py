@@ -1,4 +1,69 @@
 """The corpus pipeline: language ID, line dedup, near-duplicate removal, packing."""
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textvec.llm.jaccard_join import jaccard_components
+from textvec.llm.language_id import UNKNOWN, identify, learn
+from textvec.llm.line_dedup import line_dedup
+from textvec.llm.packing import packing
+from textvec.llm.queries import tokenizer_json
+from textvec.llm.shared import stash
+from textvec.session import ship
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: those without any letter go.
+
+    Profiles are learned from all labelled documents. Without labels nothing can be told and all documents stay."""
+    ship(spark)
+    prototypes = learn(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    if not prototypes:
+        return docs
+    rejected = identify(docs, prototypes).where(F.col("lang_pred") == UNKNOWN).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier documents have, up to one edit."""
+    ship(spark)
+    return line_dedup(docs).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: the first.
+
+    Texts without words are in no group and stay."""
+    ship(spark)
+    found = jaccard_components(docs, 5, 80, 100)
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    ship(spark)
+    return packing(docs, tokenizer_json("word_bpe_49k.json"), 2048, 1)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL has no byte-pair merges and no random vectors; tests/llm hold the stages against brute-force versions.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each but the last is written to the scratch folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -64,7 +64,36 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textvec.llm.license_scan import license_scan
+
+    return license_scan(_read(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textvec.llm.html_wrapper import html_extract
+
+    return html_extract(_read(spark, sf_dir, "pages"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries of the load of all documents, of which the second changes nothing."""
+    import uuid
+
+    from textvec.llm.shared import scratch
+    from textvec.llm.token_ledger import Ledger, count_tokens
+
+    ledger = Ledger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex}")
+    load = count_tokens(_read(spark, sf_dir, "documents"), {"word-bpe-49k": tokenizer_json("word_bpe_49k.json")})
+    for _ in range(2):
+        ledger.commit("load", load)
+    return ledger.totals()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
+    "op4_html_extraction": op4_html_extraction,
+    "op6_token_counts": op6_token_counts,
     "op2_exact_topk": op2_exact_topk,
     "op8_language_id": op8_language_id,
     "op10_graph_ann": op10_graph_ann,
@@ -106,3 +135,27 @@ s as (select q.vec_id as query_id, v.vec_id, list_sum([a[1] * a[2] for a in [[p[
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
+
+
+def _license_sql() -> str:
+    from textvec.llm.license_scan import TEMPLATES
+
+    rows = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    return f"""
+with t(name, text) as (values {rows}),
+u as (
+  select 't' as kind, 0::bigint as doc_id, 0::bigint as line, name, text from t
+  union all select 'd', doc_id, 0, '', text from documents
+  union all select 'd', doc_id, l.line, '', l.unit from documents, lateral (select unnest(string_split(text, chr(10))) as unit, generate_subscripts(string_split(text, chr(10)), 1)::bigint as line) l where contains(text, chr(10))
+), w as (select kind, doc_id, line, name, [x for x in string_split(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ') if x <> ''] as w from u where text is not null),
+b as (select kind, doc_id, line, name, list_distinct([p[1] || ' ' || p[2] for p in list_zip(w[:-2], w[2:])]) as b from w where len(w) > 1),
+d as (select doc_id, line, unnest(b) as g, len(b) as n from b where kind = 'd' and len(b) <= 400),
+p as (select name, unnest(b) as g, len(b) as n from b where kind = 't'),
+s as (select doc_id, line, p.name, 2.0::double * count(*) / (any_value(d.n) + any_value(p.n)) as dice from d join p using (g) group by doc_id, line, p.name),
+r as (select *, row_number() over (partition by doc_id order by dice desc, line, name) as k from s where dice >= 0.8)
+select documents.doc_id, r.name as license, coalesce(round(r.dice, 6), 0.0)::double as dice, coalesce(r.line, -1)::bigint as line
+from documents left join (select * from r where k = 1) r using (doc_id)
+"""
+
+
+SQL["op3_license_scan"] = _license_sql()
