@@ -12,8 +12,10 @@ are used, in three layers, each exact:
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
 * *Recursion.* A large region is never gathered. Its texts are compared with the pivot and then stand for their
-  symmetric differences with it, which keeps all distances; a pair that the pivot does not already connect
-  shares one of the D + 1 rarest elements of its differences. These make new cells, with pivots of their own.
+  symmetric differences with it, which keeps all distances. By the triangle inequality the sizes a and b of two
+  linked differences are at most D apart, and unless the pivot connects both they share at least (a + b - D) / 2
+  elements, so one of the rarest a - (a + b - D) / 2 + 1 of each. Those elements, by classes of a and b, make new
+  cells with pivots of their own.
 
 Texts with equal sets are one class throughout. Links become components by `shared.components`."""
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from textvec.llm.shared import components, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts are joined in one task; larger ones are split further.
-REGION = 48
+REGION = 128
 _U = np.uint64
 
 
@@ -181,6 +183,28 @@ def _join_region(num: int, den: int) -> Callable:
     return run
 
 
+def _class(a: int) -> int:
+    """Classes of the sizes of differences, about four to a doubling: 0, 1, 2, 3, 4, 5, 6, 7, 8-9, 10-11, ..."""
+    return a if a < 8 else 4 * (a.bit_length() - 2) + (a >> (a.bit_length() - 3) & 3)
+
+
+def _least(c: int) -> int:
+    """The smallest size of a class."""
+    return c if c < 8 else (4 + (c & 3)) << (c // 4 - 1)
+
+
+def _keeps(a: int, differ: int, linked: bool) -> list[tuple[int, int]]:
+    """For each class of partner sizes, how many of the rarest of ``a`` elements a text has to show. A linked text
+    has only partners that are not linked, and every pair needs an overlap of one."""
+    out = []
+    for c in range(_class(max(0, a - differ)), _class(a + differ) + 1):
+        least = max(_least(c), a - differ, 1)
+        share = max(1, -(-(a + least - differ) // 2))
+        if share <= a and share < _least(c + 1):
+            out.append((c, a - share + 1))
+    return out
+
+
 def _from_pivot(levels: Levels) -> Callable:
     """Each text of a large region against its pivot: link or not, and the symmetric difference."""
 
@@ -188,17 +212,18 @@ def _from_pivot(levels: Levels) -> Callable:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                linked, keep, diffs = [], [], []
+                linked, own, keep, diffs = [], [], [], []
                 for p, x in zip(batch.column("pivot_set").to_pylist(), batch.column("shingles").to_pylist()):
                     a, b = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
                     diff = np.setxor1d(a, b, assume_unique=True)
                     both = (len(a) + len(b) - len(diff)) // 2
                     linked.append(levels.den * both >= levels.num * (len(a) + len(b) - both))
-                    keep.append(min(len(diff), levels.differ(len(b) + len(b) * levels.den // levels.num) + 1))
+                    own.append(_class(len(diff)))
+                    keep.append([{"c": c, "k": k} for c, k in _keeps(len(diff), levels.differ(len(b) + len(b) * levels.den // levels.num), linked[-1])])
                     diffs.append(diff.view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("pivot"), batch.column("id"), pa.array(linked, pa.bool_()), pa.array(keep, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], ["pivot", "id", "linked", "keep", "diff"]
-                )
+                kinds = [pa.bool_(), pa.int64(), pa.list_(pa.struct([("c", pa.int64()), ("k", pa.int64())])), pa.list_(pa.int64())]
+                cols = [pa.array(c, k) for c, k in zip((linked, own, keep, diffs), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), *cols], ["pivot", "id", "linked", "own", "keep", "diff"])
 
     return run
 
@@ -232,14 +257,19 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
         links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den), "a long, b long"), "links"))
         large = sized.where(F.col("size") > REGION).select("pivot", "id").join(sets, "id")
         large = large.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot").select("pivot", "id", "pivot_set", "shingles")
-        seen = stash(large.mapInArrow(_from_pivot(levels), "pivot long, id long, linked boolean, keep long, diff array<long>"), "seen")
+        schema = "pivot long, id long, linked boolean, own long, keep array<struct<c: long, k: long>>, diff array<long>"
+        seen = stash(large.mapInArrow(_from_pivot(levels), schema), "seen")
         links.append(seen.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-        parts = seen.select("pivot", "id", "linked", "keep", F.explode("diff").alias("e"))
+        parts = seen.select("pivot", "id", F.explode("diff").alias("e"))
         rare = parts.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"))
         order = F.row_number().over(Window.partitionBy("pivot", "id").orderBy("df", "e"))
-        cells = parts.join(rare, ["pivot", "e"]).withColumn("k", order).where("k <= keep and df > 1")
-        cells = cells.withColumn("open", F.max(~F.col("linked")).over(Window.partitionBy("pivot", "e"))).where("open")
-        pairs = stash(_star(cells.select(F.col("pivot").alias("old"), "e", "id"), ["old", "e"]), "pairs")
+        ranked = parts.join(rare, ["pivot", "e"]).withColumn("rank", order).where("df > 1")
+        shown = ranked.join(seen.select("pivot", "id", "linked", "own", F.explode("keep").alias("to")), ["pivot", "id"]).where("rank <= to.k")
+        cells = shown.select("pivot", "e", F.least("own", "to.c").alias("low"), F.greatest("own", "to.c").alias("high"), "id", "linked", "own")
+        cell = Window.partitionBy("pivot", "e", "low", "high")
+        cells = cells.withColumn("open", F.max(~F.col("linked")).over(cell)).withColumn("both", (F.min("own").over(cell) == F.col("low")) & (F.max("own").over(cell) == F.col("high")))
+        cells = cells.where("open and both").select(F.col("pivot").alias("old"), "e", "low", "high", "id")
+        pairs = stash(_star(cells, ["old", "e", "low", "high"]), "pairs")
     found = links[0] if links else pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     for more in links[1:]:
         found = found.union(more)
