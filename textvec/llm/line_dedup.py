@@ -4,20 +4,24 @@ A line's key is its text, trimmed and lower-cased. Lines of ``min_chars`` or mor
 earlier line (smaller doc_id, then position) has the same key, or a key within ``edits`` edits, where both keys
 have ``min_edit_chars`` or more. "Earlier" ranks first occurrences, so the outcome depends on no order of work.
 
-Segment-partition join: a key of length l is cut into ``edits + 1`` segments, and each is indexed under
-(segment number, l, its text). Within ``edits`` edits one segment stays whole, so a key of length L probes, for
-every l in L - edits .. L and every segment, the substrings at the few shifts that the edits left and right of it
-allow. Index and probe entries meet by a hash of that triple. Candidates are then verified on the whole keys with
-Spark's banded edit distance, `levenshtein(a, b, edits)`, the native counterpart of a bit-parallel one.
+Segment-partition join: edits leave one of ``edits + 1`` segments whole, and so two of ``edits + 2``, which are far
+more selective. A key of length l is cut into that many, and each pair is indexed under (its numbers, l, its texts).
+A key of length L probes, for every l in L - edits .. L and every pair, the substrings at the few shifts that the
+edits left of, between and right of the pair allow. Index and probe entries meet by a hash. Candidates are then
+verified on the whole keys with Spark's banded edit distance, `levenshtein(a, b, edits)`, the native counterpart of a
+bit-parallel one.
 
-Only entries of keys that meet another key are kept; of a document only hashes travel until candidates are known."""
+Documents are written once in buckets of doc_id, so that the joins that need texts move none of them: the one that
+finds first occurrences, the verification, and the result. Of other lines only hashes travel."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import stash
+from textvec.llm.shared import scratch, stash
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -25,42 +29,67 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select("doc_id", "pos", F.lower(F.trim("line")).alias("key")).where(F.char_length("key") >= min_chars)
 
 
-def _entry(i: int, length: Column, start: Column, size: Column, side: int) -> Column:
-    return F.struct(F.xxhash64(F.lit(i), length, F.substring(F.col("key"), start + 1, size)).alias("seg"), F.lit(side).alias("side"))
-
-
 def _cut(i: int, parts: int, length: Column) -> tuple[Column, Column]:
     """Start (from 0) and size of segment ``i`` of a key of ``length``."""
     base, longer = F.floor(length / parts).cast("int"), parts - (length % parts)
     return base * i + F.greatest(F.lit(0), F.lit(i) - longer).cast("int"), (base + F.when(F.lit(i) >= longer, 1).otherwise(0)).cast("int")
 
 
+def shifts(edits: int) -> list[tuple[int, int, int, int, int]]:
+    """All (less, i, j, shift of i, shift of j) under which a key finds one that is ``less`` letters shorter."""
+    last, out = edits + 1, []
+    reach = range(-edits, edits + 1)
+    for less in range(edits + 1):
+        for i in range(last):
+            for j in range(i + 1, last + 1):
+                out += [(less, i, j, a, b) for a in reach for b in reach if abs(a) + abs(b - a) + abs(less - b) <= edits and (i or not a) and (j < last or b == less) and (j > i + 1 or a == b)]
+    return out
+
+
 def entries(edits: int) -> Column:
-    """Index (side 1) and probe (side 2) entries of the column ``key``."""
-    length, parts, out = F.char_length("key"), edits + 1, []
-    for i in range(parts):
-        out.append(_entry(i, length, *_cut(i, parts, length), 1))
-        for less in range(edits + 1):
-            start, size = _cut(i, parts, length - less)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(_entry(i, length - less, start + shift, size, 2))
+    """Index (bit 1) and probe (bit 2) entries of the column ``key``; the key's own index entry probes as well."""
+    length, parts, out = F.char_length("key"), edits + 2, []
+    for less, i, j, a, b in shifts(edits):
+        (at_i, n_i), (at_j, n_j) = _cut(i, parts, length - less), _cut(j, parts, length - less)
+        seg = F.xxhash64(F.lit(i), F.lit(j), length - less, F.substring(F.col("key"), at_i + a + 1, n_i), F.substring(F.col("key"), at_j + b + 1, n_j))
+        out.append(F.struct(seg.alias("seg"), F.lit(2 if less or a or b else 3).alias("side")))
     return F.array(*out)
 
 
-def dropped_near(docs: DataFrame, edits: int, min_edit_chars: int, min_chars: int) -> DataFrame:
-    """First occurrences (doc_id, pos) that have an earlier key within ``edits`` edits."""
-    rows = _lines(docs, max(min_edit_chars, min_chars))
-    firsts = rows.groupBy(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min(F.struct("doc_id", "pos")).alias("at"), F.first("key").alias("key"))
+def bucketed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` written to the scratch folder in buckets of ``key``: joins on it read them without a shuffle."""
+    spark = docs.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"textvec_{uuid.uuid4().hex}"
+    docs.repartition(n, key).write.bucketBy(n, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def _bits(at: DataFrame, name: str) -> DataFrame:
+    """(doc_id, pos) rows as a map for each document from pos div 64 to a word of 64 bits."""
+    words = at.groupBy("doc_id", F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b"))
+    return words.groupBy(F.col("doc_id").alias("__id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias(name))
+
+
+def _bit(words: str, i: Column) -> Column:
+    word = F.coalesce(F.try_element_at(words, F.floor(i / 64).cast("bigint")), F.lit(0).cast("bigint"))
+    return F.call_function("getbit", word, (i % 64).cast("int")) == 1
+
+
+def dropped_near(docs: DataFrame, firsts: DataFrame, edits: int, min_edit_chars: int) -> DataFrame:
+    """Those of the first occurrences (doc_id, pos) that have an earlier key within ``edits`` edits."""
+    own = _bits(firsts.where(F.col("size") >= min_edit_chars), "__own")
+    lines = docs.join(own, docs.doc_id == own["__id"]).select("doc_id", "__own", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    keys = lines.where(_bit("__own", F.col("pos"))).select(F.struct("doc_id", "pos").alias("at"), F.lower(F.trim("line")).alias("key"))
     cell = Window.partitionBy("seg")
-    met = firsts.select("at", F.explode(entries(edits)).alias("e")).select("at", "e.seg", "e.side")
+    met = keys.select("at", F.explode(entries(edits)).alias("e")).select("at", "e.seg", "e.side")
     met = met.withColumn("sides", F.bit_or("side").over(cell)).withColumn("low", F.min("at").over(cell)).withColumn("high", F.max("at").over(cell))
     live = stash(met.where("sides = 3 and low <> high").select("seg", "side", "at").distinct(), "live")
-    index = live.where("side = 1").select("seg", F.col("at").alias("x"))
-    probe = live.where("side = 2").select("seg", F.col("at").alias("y"))
+    index = live.where("side = 3").select("seg", F.col("at").alias("x"))
+    probe = live.select("seg", F.col("at").alias("y"))
     pairs = stash(index.join(probe, "seg").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("at")).groupBy(F.col("at.doc_id").alias("id")).agg(F.collect_set("at.pos").alias("at"))
     found = docs.join(wanted, docs.doc_id == wanted.id).select("doc_id", F.split("text", "\n").alias("lines"), F.explode("at").alias("pos"))
-    texts = found.select(F.struct("doc_id", "pos").alias("at"), F.lower(F.trim(F.get("lines", "pos"))).alias("key"))
+    texts = stash(found.select(F.struct("doc_id", "pos").alias("at"), F.lower(F.trim(F.get("lines", "pos"))).alias("key")), "texts")
     both = pairs.join(texts.select(F.col("at").alias("x"), F.col("key").alias("a")), "x").join(texts.select(F.col("at").alias("y"), F.col("key").alias("b")), "y")
     return both.where(F.levenshtein("a", "b", edits) >= 0).select("y.doc_id", "y.pos").distinct()
 
@@ -73,19 +102,15 @@ def line_dedup(docs: DataFrame, edits: int = 1, min_chars: int = 20, min_edit_ch
     its text and get the same result. Other columns pass through, whatever their names."""
     if edits < 0 or min_edit_chars <= 2 * edits + 1:
         raise ValueError("edits must be 0 or more, and min_edit_chars well above them")
+    docs = bucketed(docs, id_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    near = stash(dropped_near(slim, edits, min_edit_chars, min_chars), "near")
-    firsts = _lines(slim, min_chars).groupBy(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")).agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    kept = firsts.select("at.doc_id", "at.pos").join(near, ["doc_id", "pos"], "left_anti")
-    bits = kept.groupBy("doc_id", F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b"))
-    bits = bits.groupBy(F.col("doc_id").alias("__kept_id")).agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("__kept"))
+    h = (F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.char_length("key").alias("size"))
+    firsts = stash(_lines(slim, min_chars).groupBy(*h).agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("at.doc_id", "at.pos", "size"), "firsts")
+    near = stash(dropped_near(slim, firsts, edits, min_edit_chars), "near")
+    kept = _bits(firsts.join(near, ["doc_id", "pos"], "left_anti"), "__kept")
     lines = F.split(F.col(text_col), "\n")
-
-    def stays(line: Column, i: Column) -> Column:
-        word = F.coalesce(F.try_element_at("__kept", (F.floor(i / 64)).cast("bigint")), F.lit(0).cast("bigint"))
-        return (F.char_length(F.lower(F.trim(line))) < min_chars) | (F.col(id_col).isNull()) | (F.call_function("getbit", word, (i % 64).cast("int")) == 1)
-
-    out = docs.join(bits, docs[id_col] == bits["__kept_id"], "left").withColumn("__left", F.filter(lines, stays))
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("bigint")).withColumn("n_dropped", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size("__left")).cast("bigint"))
-    out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("bigint"))
-    return out.withColumn(text_col, F.array_join("__left", "\n")).drop("__left", "__kept", "__kept_id")
+    stays = lambda line, i: (F.char_length(F.lower(F.trim(line))) < min_chars) | F.col(id_col).isNull() | _bit("__kept", i)
+    out = docs.join(kept, docs[id_col] == kept["__id"], "left").withColumn("__left", F.filter(lines, stays))
+    known = F.col(text_col).isNotNull()
+    out = out.withColumn("n_lines", F.when(known, F.size(lines)).otherwise(0).cast("bigint")).withColumn("n_dropped", F.when(known, F.size(lines) - F.size("__left")).otherwise(0).cast("bigint"))
+    return out.withColumn(text_col, F.array_join("__left", "\n")).drop("__left", "__kept", "__id")
