@@ -33,6 +33,9 @@ from textvec.llm.shared import components, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts are joined in one task; larger ones are split further.
 REGION = 128
+#: Bits of the bitmap of candidates (8 MB), through which their texts are found without moving the others. When more
+#: candidates fill it, more sets travel than are needed; none is missed.
+SLOTS = 1 << 26
 _U = np.uint64
 
 
@@ -108,11 +111,25 @@ def _sketch(width: int, levels: Levels) -> Callable:
     return run
 
 
-def _sets(width: int) -> Callable:
+def _slots(ids: DataFrame) -> bytes:
+    """A bitmap of fixed size with the hash of every id: what is not in it is not among ``ids``."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS))
+    words = ids.select(slot.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
+def _sets(width: int, slots) -> Callable:
+    """The sets of the texts that the bitmap may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.frombuffer(slots.value, np.int64)
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
+            slot = whole.column("slot").to_numpy()
+            some = whole.filter(pa.array((words[slot // 64] >> (slot % 64)) & 1 == 1))
+            for at in range(0, len(some), 1024):
+                batch = some.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in _shingles(batch, width)], pa.binary())], ["id", "shingles"])
 
     return run
@@ -248,7 +265,10 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     classes = stash(sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")), "classes")
     pairs = stash(_star(classes.where("id is not null").select("id", F.explode("sigs").alias("sig")), ["sig"]), "pairs")
     wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
-    sets = stash(docs.join(wanted, docs.doc_id == wanted.id, "left_semi").mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    wanted = stash(wanted, "wanted")
+    slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
+    near = docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).mapInArrow(_sets(width, slots), "id long, shingles binary")
+    sets = stash(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
     links = []
     while pairs.limit(1).count():
         sized = pairs.join(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
