@@ -218,13 +218,13 @@ def size(nodes: list) -> int:
 
 
 def constants(nodes: list) -> set[str]:
-    """The texts that are the same wherever the wrapper matches."""
+    """The texts that are the same on all pages: those outside slots and optional groups."""
     out: set[str] = set()
     for n in nodes:
         if isinstance(n, str):
             if n[0] == "=":
                 out.add(n[1:])
-        elif n[0] != "slot":
+        elif n[0] == "rep":
             out |= constants(n[1])
     return out
 
