@@ -51,8 +51,9 @@ def test_caps():
 
 
 def test_half_floats():
-    table = {0.0: 0, -0.0: 0x8000, 1: 0x3C00, -2: 0xC000, 65504: 0x7BFF, 65520: 0x7C00, -1e30: 0xFC00, 2.0**-24: 1, 2.0**-14: 0x400, 2.0**-14 - 2.0**-24: 0x3FF, 1e-30: 0, 1 + 2.0**-11: 0x3C01, float("inf"): 0x7C00}
+    table = {0.0: 0, 1: 0x3C00, -2: 0xC000, 65504: 0x7BFF, 65520: 0x7C00, -1e30: 0xFC00, 2.0**-24: 1, 2.0**-14: 0x400, 2.0**-14 - 2.0**-24: 0x3FF, 1e-30: 0, 1 + 2.0**-11: 0x3C01, float("inf"): 0x7C00}
     assert codec.encode_f16(list(table)).tolist() == list(table.values())
+    assert codec.encode_f16([-0.0])[0] == 0x8000
     every = np.arange(65536).astype("<u2")
     fine = every[~np.isnan(codec.decode_f16(every))]
     assert (codec.encode_f16(codec.decode_f16(fine)) == fine).all()

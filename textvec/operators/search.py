@@ -32,7 +32,7 @@ def l2_normalize(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 against a zero row, NaN against a row with NaN."""
     n = square(b)
-    return F.when(n > 0, dot(a, b) / (norm(a) * F.sqrt(n))).when(n == 0, F.lit(0.0)).otherwise(F.lit(float("nan")))
+    return F.when(n > 0, dot(a, b) / F.sqrt(square(a) * n)).when(n == 0, F.lit(0.0)).otherwise(F.lit(float("nan")))
 
 
 def _score(a: Column, b: Column, metric: str) -> Column:
