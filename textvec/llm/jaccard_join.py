@@ -6,8 +6,9 @@ are used, in three layers, each exact:
 * *Cells.* A linked pair differs in at most D = (1 - t) / (1 + t) * (|x| + |y|) shingles. Sizes fall into levels
   that grow by 1/t or more, so linked texts are in the same or in neighbouring levels; a text near the upper end
   of its level is replicated to the next one (the triangle-inequality window around the empty set). A level cuts
-  the hash space into D + 3 blocks: at least three blocks of a linked pair are equal, so it shares the signature
-  of one. Empty blocks are left out unless a text has three or more of them.
+  the hash space into more than D blocks, of which a linked pair differs in D at most. In an order that both have,
+  larger blocks first, the first D + 1 of each then hold one that is equal, and that is a cell. Blocks of one or two
+  shingles, which texts with a common passage share, are mostly left out, and empty ones nearly always.
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import components, mix, shingle_set, stash, word_hashes
+from textvec.llm.shared import components, drop, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts are joined in one task; larger ones are split further.
 REGION = 128
@@ -68,14 +69,17 @@ class Levels:
             most = self.differ(2 * (self.bounds[level + 1] - 1))
             if not most:
                 continue
-            blocks = most + 3
+            blocks = most + 1 + (most + 2) // 2
             at = ((shingles >> _U(32)) * _U(blocks)) >> _U(32)
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            label = (at[first] + _U(level << 40)) * _U(0x9E3779B97F4A7C15)
-            out.append(mix(np.add.reduceat(weight, first) ^ mix(label)))
-            if blocks - len(first) >= 3:
-                empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at[first])
-                out.append(mix(mix((empty + _U(level << 40)) * _U(0x9E3779B97F4A7C15)) + _U(1)))
+            sums, label = np.add.reduceat(weight, first), at[first]
+            if len(first) <= most:
+                empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), label)[: most + 1 - len(first)]
+                sums, label = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((label, empty))
+            else:
+                keep = np.argsort(-np.diff(np.append(first, len(shingles))), kind="stable")[: most + 1]
+                sums, label = sums[keep], label[keep]
+            out.append(mix(sums ^ mix((label + _U(level << 40)) * _U(0x9E3779B97F4A7C15))))
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -262,8 +266,12 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     levels = Levels(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = stash(docs.mapInArrow(_sketch(width, levels), "doc_id long, n long, f1 long, f2 long, sigs array<long>"), "sketches")
-    classes = stash(sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")), "classes")
-    pairs = stash(_star(classes.where("id is not null").select("id", F.explode("sigs").alias("sig")), ["sig"]), "pairs")
+    sized = sketches.where("n > 0").groupBy("f1", "f2")
+    cells = sized.agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")).where("id is not null")
+    pairs = stash(_star(cells.select("id", F.explode("sigs").alias("sig")), ["sig"]), "pairs")
+    classes = stash(sized.agg(F.min("doc_id").alias("rep")), "classes")
+    members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
+    drop(sketches)
     wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
     wanted = stash(wanted, "wanted")
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
@@ -293,8 +301,6 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     found = links[0] if links else pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     for more in links[1:]:
         found = found.union(more)
-    reps = classes.select("f1", "f2", F.col("id").alias("rep"))
-    members = sketches.join(reps, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
     return members, found
 
 

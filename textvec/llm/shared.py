@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,11 +39,24 @@ def sweep(spark: SparkSession, folder: str) -> None:
 
 
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` to the shared scratch folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    Shuffle files of finished steps are released, which Spark does for those that the driver's memory no longer holds."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``stash`` has written, once nothing reads it any more."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/textvec-" in path:
+            sweep(df.sparkSession, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
