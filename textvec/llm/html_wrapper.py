@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 1500
+#: A host's pages meet its wrapper in so many parts, so that a large host is no single task.
+SALTS = 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of elements and boxes.
@@ -312,5 +314,7 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)^[a-z][a-z0-9+.-]*://|[/?#].*$", "")
     known = wrappers(slim).where("wrapper <> 'null' and pages > 1").withColumnRenamed("host", "__host")
-    joined = slim.join(known, host == F.col("__host"), "left")
+    known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    joined = slim.join(known, (host == F.col("__host")) & (salt == F.col("__salt")), "left")
     return joined.select("page_id", "url", "html", "wrapper", "pages").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
