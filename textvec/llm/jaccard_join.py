@@ -4,11 +4,12 @@ The Jaccard distance 1 - |x & y| / |x | y| is a metric, and so is the size of th
 are used, in three layers, each exact:
 
 * *Cells.* A linked pair differs in at most D = (1 - t) / (1 + t) * (|x| + |y|) shingles. Sizes fall into levels
-  that grow by 1/t or more, so linked texts are in the same or in neighbouring levels; a text near the upper end
-  of its level is replicated to the next one (the triangle-inequality window around the empty set). A level cuts
-  the hash space into more than D blocks, of which a linked pair differs in D at most. In an order that both have,
-  larger blocks first, the first D + 1 of each then hold one that is equal, and that is a cell. Blocks of one or two
-  shingles, which texts with a common passage share, are mostly left out, and empty ones nearly always.
+  that double (or grow by 1/t, if that is more), so linked texts are in the same or in neighbouring levels; a text
+  near the upper end of its level is replicated to the next one (the triangle-inequality window around the empty
+  set). A level cuts the hash space into more blocks than any of its pairs can differ in. In an order that both texts
+  have, larger blocks first, the first equal block comes after at most D others, so a text shows only as many blocks
+  as D, for its own size and its largest partner's, plus one. Blocks of one or two shingles, which texts with a
+  common passage share, are mostly left out, and empty ones nearly always.
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
@@ -18,7 +19,9 @@ are used, in three layers, each exact:
   elements, so one of the rarest a - (a + b - D) / 2 + 1 of each. Those elements, by classes of a and b, make new
   cells with pivots of their own.
 
-Texts with equal sets are one class throughout. Links become components by `shared.components`."""
+Texts with equal sets are one class throughout. Components need no link that only repeats them, so every text is
+first compared with the smallest of its pivots, and regions that these links already connect are left out.
+Links become components by `shared.components`."""
 
 from __future__ import annotations
 
@@ -30,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import components, drop, mix, shingle_set, stash, word_hashes
+from textvec.llm.shared import components, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts are joined in one task; larger ones are split further.
 REGION = 128
 #: Bits of the bitmap of candidates (8 MB), through which their texts are found without moving the others. When more
 #: candidates fill it, more sets travel than are needed; none is missed.
 SLOTS = 1 << 26
+#: Fingerprints that a task remembers to show copies once.
+SHOWN = 1 << 17
 _U = np.uint64
 
 
@@ -50,7 +55,7 @@ class Levels:
         self.bounds = [1]
         while self.bounds[-1] < 1 << 40:
             b = self.bounds[-1]
-            self.bounds.append(max(b + 1, -(-b * max(5 * num, 4 * den) // (4 * num))))
+            self.bounds.append(max(2 * b, -(-b * den // num)))
         self.starts = np.array(self.bounds)
 
     def differ(self, total: int) -> int:
@@ -65,11 +70,13 @@ class Levels:
         """One value for each block in which a linked text can be equal."""
         out = []
         weight = mix(shingles)
+        partner = len(shingles) * self.den // self.num
         for level in self.of(len(shingles)):
-            most = self.differ(2 * (self.bounds[level + 1] - 1))
+            all_most = self.differ(2 * (self.bounds[level + 1] - 1))
+            most = self.differ(len(shingles) + min(partner, self.bounds[level + 1] - 1))
             if not most:
                 continue
-            blocks = most + 1 + (most + 2) // 2
+            blocks = all_most + 1 + (all_most + 3) // 4
             at = ((shingles >> _U(32)) * _U(blocks)) >> _U(32)
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
             sums, label = np.add.reduceat(weight, first), at[first]
@@ -90,27 +97,44 @@ def _shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
             yield shingle_set(words, width)
 
 
-def _sketch(width: int, levels: Levels) -> Callable:
-    """Per document: size and fingerprint of its set, and the signatures of its cells."""
+def _print(s: np.ndarray, empty: bytes = b"") -> bytes:
+    return hashlib.blake2b(s.tobytes() if len(s) else empty, digest_size=16).digest()
+
+
+def _sketch(width: int) -> Callable:
+    """Per document: size and fingerprint of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prints = [], []
+            for i, s in enumerate(_shingles(batch, width)):
+                sizes.append(len(s))
+                prints.append(_print(s, b"empty %d %d" % (batch.column("doc_id")[i].as_py() or 0, i)))
+            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "n", "f1", "f2"])
+
+    return run
+
+
+def _entries(width: int, levels: Levels) -> Callable:
+    """The cells of each text as (id, sig). Copies within a task are shown once, like a map-side combine; the memory
+    of what was shown is emptied when full, after which a copy is shown again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shown: set[bytes] = set()
         for whole in batches:
-            for at in range(0, len(whole), 1024):
-                batch = whole.slice(at, 1024)
-                sizes, high, low, sigs = [], [], [], []
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                sigs, ids = [np.empty(0, np.uint64)], batch.column("doc_id").to_numpy()
+                counts = np.zeros(len(batch), np.int64)
                 for i, s in enumerate(_shingles(batch, width)):
-                    sizes.append(len(s))
-                    key = s.tobytes() if len(s) else b"empty %d %d" % (batch.column("doc_id")[i].as_py() or 0, i)
-                    a, b = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), np.int64)
-                    high.append(a)
-                    low.append(b)
-                    sigs.append(levels.signatures(s).view(np.int64) if len(s) else np.empty(0, np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-                flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["doc_id", "n", "f1", "f2", "sigs"],
-                )
+                    if len(s) and (key := _print(s)) not in shown:
+                        if len(shown) >= SHOWN:
+                            shown.clear()
+                        shown.add(key)
+                        sigs.append(levels.signatures(s))
+                        counts[i] = len(sigs[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(sigs).view(np.int64))], ["id", "sig"])
 
     return run
 
@@ -255,6 +279,39 @@ def _star(cells: DataFrame, key: list[str]) -> DataFrame:
     return cells.withColumn("pivot", pivot).where("id <> pivot").select("pivot", "id").distinct()
 
 
+def _with_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(pivot, id, pivot_set, shingles)"""
+    pivots = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_set"))
+    return pairs.join(sets, "id").join(pivots, "pivot").select("pivot", "id", "pivot_set", "shingles")
+
+
+def _linked(num: int, den: int) -> Callable:
+    """Those texts that are linked with their pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                keep = []
+                for p, x in zip(batch.column("pivot_set"), batch.column("shingles")):
+                    a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
+                    both = _common(a, b)
+                    keep.append(den * both >= num * (len(a) + len(b) - both))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("pivot").filter(mask), batch.column("id").filter(mask)], ["a", "b"])
+
+    return run
+
+
+def _unsettled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of those regions whose texts are not all in one component yet."""
+    labels = labels.select(F.col("id").alias("l"), "component")
+    own = pairs.join(labels, pairs.id == labels.l, "left").select("pivot", F.coalesce("component", "id").alias("c"))
+    seen = own.groupBy("pivot").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    seen = seen.join(labels, seen.pivot == labels.l, "left").where("low <> high or low <> coalesce(component, pivot)")
+    return pairs.join(seen.select("pivot"), "pivot", "left_semi")
+
+
 def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of documents with equal shingle sets, and the links between classes.
 
@@ -265,26 +322,31 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     text only if no other row has that text."""
     levels = Levels(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stash(docs.mapInArrow(_sketch(width, levels), "doc_id long, n long, f1 long, f2 long, sigs array<long>"), "sketches")
-    sized = sketches.where("n > 0").groupBy("f1", "f2")
-    cells = sized.agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")).where("id is not null")
-    pairs = stash(_star(cells.select("id", F.explode("sigs").alias("sig")), ["sig"]), "pairs")
-    classes = stash(sized.agg(F.min("doc_id").alias("rep")), "classes")
+    sketches = stash(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long"), "sketches")
+    classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
-    drop(sketches)
+    entries = docs.where("doc_id is not null").mapInArrow(_entries(width, levels), "id long, sig long")
+    raw = stash(_star(entries, ["sig"]), "raw")
+    reps = members.where("rep is not null").select(F.col("doc_id").alias("id"), "rep")
+    pairs = raw.join(reps, "id").select("pivot", F.col("rep").alias("to")).join(reps, F.col("pivot") == reps.id)
+    pairs = stash(pairs.select(F.col("rep").alias("pivot"), F.col("to").alias("id")).where("id <> pivot").distinct(), "pairs")
     wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
     wanted = stash(wanted, "wanted")
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
     near = docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).mapInArrow(_sets(width, slots), "id long, shingles binary")
     sets = stash(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
     links = []
+    if pairs.limit(1).count():
+        one = pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))
+        near = _with_pivot(one, sets).mapInArrow(_linked(num, den), "a long, b long")
+        links.append(stash(near, "links"))
+        pairs = stash(_unsettled(pairs, components(links[0])), "pairs")
     while pairs.limit(1).count():
         sized = pairs.join(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
         small = sized.where(F.col("size") <= REGION).select("pivot", "id")
         small = small.union(small.select("pivot", F.col("pivot").alias("id")).distinct())
         links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den), "a long, b long"), "links"))
-        large = sized.where(F.col("size") > REGION).select("pivot", "id").join(sets, "id")
-        large = large.join(sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_set")), "pivot").select("pivot", "id", "pivot_set", "shingles")
+        large = _with_pivot(sized.where(F.col("size") > REGION).select("pivot", "id"), sets)
         schema = "pivot long, id long, linked boolean, own long, keep array<struct<c: long, k: long>>, diff array<long>"
         seen = stash(large.mapInArrow(_from_pivot(levels), schema), "seen")
         links.append(seen.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))

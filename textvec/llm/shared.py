@@ -52,13 +52,6 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that ``stash`` has written, once nothing reads it any more."""
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/textvec-" in path:
-            sweep(df.sparkSession, path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) per end, component = smallest id.
 
