@@ -33,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import components, mix, shingle_set, stash, word_hashes
+from textvec.llm.shared import bucketed, components, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts are joined in one task; larger ones are split further.
 REGION = 128
 #: Bits of the bitmap of candidates (8 MB), through which their texts are found without moving the others. When more
 #: candidates fill it, more sets travel than are needed; none is missed.
 SLOTS = 1 << 26
+#: Texts that are compared with a pivot in one task.
+SALTED = 1024
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
 _U = np.uint64
@@ -280,9 +282,11 @@ def _star(cells: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _with_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(pivot, id, pivot_set, shingles)"""
-    pivots = sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("pivot_set"))
-    return pairs.join(sets, "id").join(pivots, "pivot").select("pivot", "id", "pivot_set", "shingles")
+    """(pivot, id, pivot_set, shingles). A pivot's texts are dealt over tasks of about SALTED; its set goes to each."""
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / SALTED).alias("parts"))
+    pivots = sizes.join(sets, sizes.pivot == sets.id).select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.col("shingles").alias("pivot_set"))
+    salted = pairs.join(sizes, "pivot").select("pivot", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("salt"))
+    return salted.join(sets, "id").join(pivots, ["pivot", "salt"]).select("pivot", "id", "pivot_set", "shingles")
 
 
 def _linked(num: int, den: int) -> Callable:
@@ -334,7 +338,7 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     wanted = stash(wanted, "wanted")
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
     near = docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).mapInArrow(_sets(width, slots), "id long, shingles binary")
-    sets = stash(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sets = bucketed(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", dealt=True)
     links = []
     if pairs.limit(1).count():
         one = pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))

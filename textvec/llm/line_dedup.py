@@ -16,12 +16,10 @@ finds first occurrences, the verification, and the result. Of other lines only h
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import scratch, stash
+from textvec.llm.shared import bucketed, stash
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -56,14 +54,6 @@ def entries(edits: int) -> Column:
     return F.array(*out)
 
 
-def bucketed(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` written to the scratch folder in buckets of ``key``: joins on it read them without a shuffle."""
-    spark = docs.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"textvec_{uuid.uuid4().hex}"
-    docs.repartition(n, key).write.bucketBy(n, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    return spark.table(name)
-
-
 def _bits(at: DataFrame, name: str) -> DataFrame:
     """(doc_id, pos) rows as a map for each document from pos div 64 to a word of 64 bits."""
     words = at.groupBy("doc_id", F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b"))

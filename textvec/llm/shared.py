@@ -52,6 +52,17 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """``df`` written to the scratch folder in buckets of ``key``: joins on it read them without a shuffle.
+
+    ``dealt`` says that its last shuffle was by ``key`` already, so that none is needed for few files."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"textvec_{uuid.uuid4().hex}"
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.bucketBy(n, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row (id, component) per end, component = smallest id.
 
