@@ -3,13 +3,11 @@
 The Jaccard distance 1 - |x & y| / |x | y| is a metric, and so is the size of the symmetric difference. Both
 are used, in three layers, each exact:
 
-* *Cells.* A linked pair differs in at most D = (1 - t) / (1 + t) * (|x| + |y|) shingles. Sizes fall into levels
-  that double (or grow by 1/t, if that is more), so linked texts are in the same or in neighbouring levels; a text
-  near the upper end of its level is replicated to the next one (the triangle-inequality window around the empty
-  set). A level cuts the hash space into more blocks than any of its pairs can differ in. In an order that both texts
-  have, larger blocks first, the first equal block comes after at most D others, so a text shows only as many blocks
-  as D, for its own size and its largest partner's, plus one. Blocks of one or two shingles, which texts with a
-  common passage share, are mostly left out, and empty ones nearly always.
+* *Cells.* The overlap of a linked pair is at least t of either set. So in any order that all texts have in common,
+  the first n - ceil(t * n) + 1 shingles of both sets meet in one, and each of these is a cell. The order is by
+  frequency: common shingles come last, so texts that only share a common passage or phrase do not meet. Frequencies
+  are counted over all documents, in windows of WINDOW shingles, each of which reports what it has seen LEAST times;
+  the COMMON most frequent are ranked. A shingle that is missed is in the place of a rare one: no link is lost.
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
@@ -20,8 +18,8 @@ are used, in three layers, each exact:
   cells with pivots of their own.
 
 Texts with equal sets are one class throughout. Components need no link that only repeats them, so every text is
-first compared with the smallest of its pivots, and regions that these links already connect are left out.
-Links become components by `shared.components`."""
+first compared with the smallest of its pivots, and regions, and later cells, that known links already connect are
+left out. Links become components by `shared.components`."""
 
 from __future__ import annotations
 
@@ -33,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import bucketed, components, mix, shingle_set, stash, word_hashes
+from textvec.llm.shared import bucketed, components, shingle_set, stash, word_hashes
 
-#: Regions of up to so many texts are joined in one task; larger ones are split further.
-REGION = 128
+#: Regions of up to so many texts and shingles (32 MB) are joined in one task; larger ones are split further.
+REGION, WEIGHT = 1024, 1 << 22
 #: Bits of the bitmap of candidates (8 MB), through which their texts are found without moving the others. When more
 #: candidates fill it, more sets travel than are needed; none is missed.
 SLOTS = 1 << 26
@@ -44,52 +42,41 @@ SLOTS = 1 << 26
 SALTED = 1024
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
+#: Shingles that are counted together in a task's memory, and how often one must come among them to be reported.
+WINDOW, LEAST = 1 << 21, 4
+#: Most shingles that are ranked by frequency (4 MB, broadcast); all others rank as rare ones.
+COMMON = 1 << 18
 _U = np.uint64
 
 
-class Levels:
-    """Size levels for a similarity of ``num / den``, and the blocks of each."""
+class Bound:
+    """What a similarity of ``num / den`` or more says about sizes."""
 
     def __init__(self, num: int, den: int):
         if not 0 < num <= den:
             raise ValueError("the similarity must be in (0, 1]")
         self.num, self.den = num, den
-        self.bounds = [1]
-        while self.bounds[-1] < 1 << 40:
-            b = self.bounds[-1]
-            self.bounds.append(max(2 * b, -(-b * den // num)))
-        self.starts = np.array(self.bounds)
 
     def differ(self, total: int) -> int:
         """Most shingles in which a linked pair of ``total`` shingles can differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def of(self, n: int) -> list[int]:
-        k = int(np.searchsorted(self.starts, n, "right")) - 1
-        return [k, k + 1] if n * self.den // self.num >= self.bounds[k + 1] else [k]
-
-    def signatures(self, shingles: np.ndarray) -> np.ndarray:
-        """One value for each block in which a linked text can be equal."""
-        out = []
-        weight = mix(shingles)
-        partner = len(shingles) * self.den // self.num
-        for level in self.of(len(shingles)):
-            all_most = self.differ(2 * (self.bounds[level + 1] - 1))
-            most = self.differ(len(shingles) + min(partner, self.bounds[level + 1] - 1))
-            if not most:
-                continue
-            blocks = all_most + 1 + (all_most + 3) // 4
-            at = ((shingles >> _U(32)) * _U(blocks)) >> _U(32)
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            sums, label = np.add.reduceat(weight, first), at[first]
-            if len(first) <= most:
-                empty = np.setdiff1d(np.arange(blocks, dtype=np.uint64), label)[: most + 1 - len(first)]
-                sums, label = np.concatenate((sums, np.zeros(len(empty), np.uint64))), np.concatenate((label, empty))
-            else:
-                keep = np.argsort(-np.diff(np.append(first, len(shingles))), kind="stable")[: most + 1]
-                sums, label = sums[keep], label[keep]
-            out.append(mix(sums ^ mix((label + _U(level << 40)) * _U(0x9E3779B97F4A7C15))))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+    def shown(self, n: int) -> int:
+        """How many shingles of a set of ``n`` hold one that any linked set holds among its own."""
+        return n - -(-n * self.num // self.den) + 1
+
+    def first(self, shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The shingles to show: the rarest. ``common`` is sorted, as ``shingles`` is."""
+        most = self.shown(len(shingles))
+        if not len(common):
+            return shingles[:most]
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        known = common[at] == shingles
+        rare = shingles[~known][:most]
+        if len(rare) == most:
+            return rare
+        rest, often = shingles[known], counts[at[known]]
+        return np.concatenate((rare, rest[np.argsort(often, kind="stable")[: most - len(rare)]]))
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -103,38 +90,66 @@ def _print(s: np.ndarray, empty: bytes = b"") -> bytes:
     return hashlib.blake2b(s.tobytes() if len(s) else empty, digest_size=16).digest()
 
 
+def _frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
+    """A window's frequent shingles, in the columns of sketches: (shingle, count, null, null)."""
+    values, counts = np.unique(np.concatenate([*sets, np.empty(0, _U)]), return_counts=True)
+    some = counts >= LEAST
+    none = pa.nulls(int(some.sum()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), none, none], ["doc_id", "n", "f1", "f2"])
+
+
 def _sketch(width: int) -> Callable:
-    """Per document: size and fingerprint of its set."""
+    """Per document: size and fingerprint of its set. Further rows without a fingerprint: shingles that are frequent
+    in a window, and how often. Copies within a window count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        total = 0
         for batch in batches:
             sizes, prints = [], []
             for i, s in enumerate(_shingles(batch, width)):
                 sizes.append(len(s))
                 prints.append(_print(s, b"empty %d %d" % (batch.column("doc_id")[i].as_py() or 0, i)))
+                if len(s) and prints[-1] not in held:
+                    held[prints[-1]] = s
+                    total += len(s)
+                    if total >= WINDOW:
+                        yield _frequent(list(held.values()))
+                        held, total = {}, 0
             f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "n", "f1", "f2"])
+        yield _frequent(list(held.values()))
 
     return run
 
 
-def _entries(width: int, levels: Levels) -> Callable:
+def _ranked(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and their counts: COMMON of them at most."""
+    counts = sketches.where("f1 is null").groupBy(F.col("doc_id").alias("e")).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "e").limit(COMMON).toArrow()
+    values = top["e"].to_numpy().view(_U)
+    order = np.argsort(values)
+    return values[order], top["n"].to_numpy()[order]
+
+
+def _entries(width: int, bound: Bound, ranked) -> Callable:
     """The cells of each text as (id, sig). Copies within a task are shown once, like a map-side combine; the memory
     of what was shown is emptied when full, after which a copy is shown again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shown: set[bytes] = set()
+        common, often = ranked.value
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                sigs, ids = [np.empty(0, np.uint64)], batch.column("doc_id").to_numpy()
+                sigs, ids = [np.empty(0, _U)], batch.column("doc_id").to_numpy()
                 counts = np.zeros(len(batch), np.int64)
                 for i, s in enumerate(_shingles(batch, width)):
                     if len(s) and (key := _print(s)) not in shown:
                         if len(shown) >= SHOWN:
                             shown.clear()
                         shown.add(key)
-                        sigs.append(levels.signatures(s))
+                        sigs.append(bound.first(s, common, often))
                         counts[i] = len(sigs[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(sigs).view(np.int64))], ["id", "sig"])
 
@@ -173,11 +188,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """All links within a region: Voronoi regions around pivots, joined recursively; texts whose distances to the
-    nearest and to another pivot differ by up to twice the radius are members of both."""
+    """Links that connect all that is linked within a region: Voronoi regions around pivots, joined recursively; texts
+    whose distances to the nearest and to another pivot differ by up to twice the radius are members of both. Texts
+    that found links connect already are not compared."""
     radius = 1 - num / den
     seen: dict[tuple[int, int], float] = {}
     links = []
+    parent = list(range(len(ids)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
     def distance(i: int, j: int) -> float:
         if i == j:
@@ -189,13 +211,15 @@ def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
             seen[key] = 1 - both / union
             if den * both >= num * union:
                 links.append((ids[key[0]], ids[key[1]]))
+                parent[root(i)] = root(j)
         return seen[key]
 
     def join(members: list[int]) -> None:
         if len(members) <= 4:
             for k, i in enumerate(members):
                 for j in members[k + 1 :]:
-                    distance(i, j)
+                    if root(i) != root(j):
+                        distance(i, j)
             return
         pivots = [members[0]]
         near = [distance(members[0], i) for i in members]
@@ -215,7 +239,7 @@ def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
             return
         for k, i in enumerate(members):  # no pivot separates these: only the windows do
             for m in range(k + 1, len(members)):
-                if all(abs(d[k] - d[m]) <= radius + 1e-9 for d in to):
+                if root(i) != root(members[m]) and all(abs(d[k] - d[m]) <= radius + 1e-9 for d in to):
                     distance(i, members[m])
 
     join(sorted(range(len(ids)), key=ids.__getitem__))
@@ -240,9 +264,9 @@ def _least(c: int) -> int:
     return c if c < 8 else (4 + (c & 3)) << (c // 4 - 1)
 
 
-def _keeps(a: int, differ: int, linked: bool) -> list[tuple[int, int]]:
-    """For each class of partner sizes, how many of the rarest of ``a`` elements a text has to show. A linked text
-    has only partners that are not linked, and every pair needs an overlap of one."""
+def _keeps(a: int, differ: int) -> list[tuple[int, int]]:
+    """For each class of partner sizes, how many of the rarest of ``a`` elements a text has to show. Every
+    pair that the pivot does not connect overlaps in one or more."""
     out = []
     for c in range(_class(max(0, a - differ)), _class(a + differ) + 1):
         least = max(_least(c), a - differ, 1)
@@ -252,33 +276,34 @@ def _keeps(a: int, differ: int, linked: bool) -> list[tuple[int, int]]:
     return out
 
 
-def _from_pivot(levels: Levels) -> Callable:
+def _from_pivot(bound: Bound) -> Callable:
     """Each text of a large region against its pivot: link or not, and the symmetric difference."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 256):
                 batch = whole.slice(at, 256)
-                linked, own, keep, diffs = [], [], [], []
+                sizes, linked, own, keep, diffs = [], [], [], [], []
                 for p, x in zip(batch.column("pivot_set").to_pylist(), batch.column("shingles").to_pylist()):
                     a, b = np.frombuffer(p, np.uint64), np.frombuffer(x, np.uint64)
+                    sizes.append(len(b))
                     diff = np.setxor1d(a, b, assume_unique=True)
                     both = (len(a) + len(b) - len(diff)) // 2
-                    linked.append(levels.den * both >= levels.num * (len(a) + len(b) - both))
+                    linked.append(bound.den * both >= bound.num * (len(a) + len(b) - both))
                     own.append(_class(len(diff)))
-                    keep.append([{"c": c, "k": k} for c, k in _keeps(len(diff), levels.differ(len(b) + len(b) * levels.den // levels.num), linked[-1])])
+                    keep.append([{"c": c, "k": k} for c, k in _keeps(len(diff), bound.differ(len(b) + len(b) * bound.den // bound.num))])
                     diffs.append(diff.view(np.int64))
-                kinds = [pa.bool_(), pa.int64(), pa.list_(pa.struct([("c", pa.int64()), ("k", pa.int64())])), pa.list_(pa.int64())]
-                cols = [pa.array(c, k) for c, k in zip((linked, own, keep, diffs), kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), *cols], ["pivot", "id", "linked", "own", "keep", "diff"])
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.struct([("c", pa.int64()), ("k", pa.int64())])), pa.list_(pa.int64())]
+                cols = [pa.array(c, k) for c, k in zip((sizes, linked, own, keep, diffs), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("id"), *cols], ["pivot", "id", "n", "linked", "own", "keep", "diff"])
 
     return run
 
 
-def _star(cells: DataFrame, key: list[str]) -> DataFrame:
-    """Each cell's texts with its smallest one: distinct (pivot, id)."""
+def _star(cells: DataFrame, key: list[str], *more: str) -> DataFrame:
+    """Each cell's texts with its smallest one: distinct (pivot, id), and columns that follow from id."""
     pivot = F.min("id").over(Window.partitionBy(*key))
-    return cells.withColumn("pivot", pivot).where("id <> pivot").select("pivot", "id").distinct()
+    return cells.withColumn("pivot", pivot).where("id <> pivot").select("pivot", "id", *more).distinct()
 
 
 def _with_pivot(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -316,58 +341,70 @@ def _unsettled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(seen.select("pivot"), "pivot", "left_semi")
 
 
-def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of documents with equal shingle sets, and the links between classes.
 
-    Returns ``(members, links)``: members(doc_id, n_shingles, rep) has a row per input row, rep being the smallest
+    Returns ``(members, links, labels)``: members(doc_id, n_shingles, rep) has a row per input row, rep being the smallest
     doc_id with the same set (null for a set without shingles); links(a, b) holds pairs of reps with
-    ``den * |a & b| >= num * |a | b|``, enough of them to connect every component, and each of them true.
+    ``den * |a & b| >= num * |a | b|``, enough of them to connect every component, and each of them true; labels(id, component) has the
+    smallest reachable id of each rep that is linked.
     ``doc_id`` identifies a text: rows that repeat it must repeat its text. A null id has a null rep of its own
     text only if no other row has that text."""
-    levels = Levels(num, den)
+    bound = Bound(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketches = stash(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long"), "sketches")
+    ranked = docs.sparkSession.sparkContext.broadcast(_ranked(sketches))
+    sketches = sketches.where("f1 is not null")
     classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
-    entries = docs.where("doc_id is not null").mapInArrow(_entries(width, levels), "id long, sig long")
+    entries = docs.where("doc_id is not null").mapInArrow(_entries(width, bound, ranked), "id long, sig long")
     raw = stash(_star(entries, ["sig"]), "raw")
-    reps = members.where("rep is not null").select(F.col("doc_id").alias("id"), "rep")
-    pairs = raw.join(reps, "id").select("pivot", F.col("rep").alias("to")).join(reps, F.col("pivot") == reps.id)
-    pairs = stash(pairs.select(F.col("rep").alias("pivot"), F.col("to").alias("id")).where("id <> pivot").distinct(), "pairs")
+    reps = members.where("rep is not null").select(F.col("doc_id").alias("id"), "rep", F.col("n_shingles").alias("n"))
+    pairs = raw.join(reps, "id").select("pivot", F.col("rep").alias("to"), "n").join(reps.drop("n"), F.col("pivot") == reps.id)
+    pairs = stash(pairs.select(F.col("rep").alias("pivot"), F.col("to").alias("id"), "n").where("id <> pivot").distinct(), "pairs")
     wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
     wanted = stash(wanted, "wanted")
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
     near = docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).mapInArrow(_sets(width, slots), "id long, shingles binary")
     sets = bucketed(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", dealt=True)
     links = []
+    labels = None
     if pairs.limit(1).count():
         one = pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))
         near = _with_pivot(one, sets).mapInArrow(_linked(num, den), "a long, b long")
         links.append(stash(near, "links"))
-        pairs = stash(_unsettled(pairs, components(links[0])), "pairs")
+        labels = components(links[0])
+        pairs = stash(_unsettled(pairs, labels), "pairs")
     while pairs.limit(1).count():
-        sized = pairs.join(pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
-        small = sized.where(F.col("size") <= REGION).select("pivot", "id")
+        fits = (F.count(F.lit(1)) < REGION) & (F.sum("n") + F.max("n") * den / num <= WEIGHT)
+        sized = pairs.select("pivot", "id").join(pairs.groupBy("pivot").agg(fits.alias("fits")), "pivot")
+        small = sized.where("fits").select("pivot", "id")
         small = small.union(small.select("pivot", F.col("pivot").alias("id")).distinct())
         links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den), "a long, b long"), "links"))
-        large = _with_pivot(sized.where(F.col("size") > REGION).select("pivot", "id"), sets)
-        schema = "pivot long, id long, linked boolean, own long, keep array<struct<c: long, k: long>>, diff array<long>"
-        seen = stash(large.mapInArrow(_from_pivot(levels), schema), "seen")
+        known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links[-1])
+        large = sized.where("not fits").select("pivot", "id")
+        if not large.limit(1).count():
+            labels = components(known)
+            break
+        schema = "pivot long, id long, n long, linked boolean, own long, keep array<struct<c: long, k: long>>, diff array<long>"
+        seen = stash(_with_pivot(large, sets).mapInArrow(_from_pivot(bound), schema), "seen")
         links.append(seen.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        labels = components(known.union(links[-1]))
         parts = seen.select("pivot", "id", F.explode("diff").alias("e"))
         rare = parts.groupBy("pivot", "e").agg(F.count(F.lit(1)).alias("df"))
         order = F.row_number().over(Window.partitionBy("pivot", "id").orderBy("df", "e"))
         ranked = parts.join(rare, ["pivot", "e"]).withColumn("rank", order).where("df > 1")
-        shown = ranked.join(seen.select("pivot", "id", "linked", "own", F.explode("keep").alias("to")), ["pivot", "id"]).where("rank <= to.k")
-        cells = shown.select("pivot", "e", F.least("own", "to.c").alias("low"), F.greatest("own", "to.c").alias("high"), "id", "linked", "own")
+        shown = ranked.join(seen.select("pivot", "id", "n", "own", F.explode("keep").alias("to")), ["pivot", "id"]).where("rank <= to.k")
+        cells = shown.select("pivot", "e", F.least("own", "to.c").alias("low"), F.greatest("own", "to.c").alias("high"), "id", "n", "own")
+        cells = cells.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         cell = Window.partitionBy("pivot", "e", "low", "high")
-        cells = cells.withColumn("open", F.max(~F.col("linked")).over(cell)).withColumn("both", (F.min("own").over(cell) == F.col("low")) & (F.max("own").over(cell) == F.col("high")))
-        cells = cells.where("open and both").select(F.col("pivot").alias("old"), "e", "low", "high", "id")
-        pairs = stash(_star(cells, ["old", "e", "low", "high"]), "pairs")
+        cells = cells.withColumn("open", F.min("component").over(cell) != F.max("component").over(cell)).withColumn("both", (F.min("own").over(cell) == F.col("low")) & (F.max("own").over(cell) == F.col("high")))
+        cells = cells.where("open and both").select(F.col("pivot").alias("old"), "e", "low", "high", "id", "n")
+        pairs = stash(_star(cells, ["old", "e", "low", "high"], "n"), "pairs")
     found = links[0] if links else pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     for more in links[1:]:
         found = found.union(more)
-    return members, found
+    return members, found, components(found) if labels is None else labels
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +413,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     Null and empty texts have no shingles and stand alone, as do texts of a null id. An empty table gives an empty
     result; further columns of ``docs`` are ignored whatever their names."""
-    members, links = jaccard_links(docs, width, num, den, id_col, text_col)
-    labels = components(links)
+    members, _, labels = jaccard_links(docs, width, num, den, id_col, text_col)
     found = members.join(labels, members.rep == labels.id, "left")
     return found.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
