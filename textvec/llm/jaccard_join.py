@@ -8,6 +8,9 @@ are used, in three layers, each exact:
   frequency: common shingles come last, so texts that only share a common passage or phrase do not meet. Frequencies
   are counted over all documents, in windows of WINDOW shingles, each of which reports what it has seen LEAST times;
   the COMMON most frequent are ranked. A shingle that is missed is in the place of a rare one: no link is lost.
+  Cells are kept apart by sizes in levels that double (or grow by 1/t, if that is more): linked texts are in the same
+  or in neighbouring levels, and a text near the upper end of its level is replicated to the next one (the
+  triangle-inequality window around the empty set), where the larger partners ask for fewer shingles.
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
@@ -18,8 +21,8 @@ are used, in three layers, each exact:
   cells with pivots of their own.
 
 Texts with equal sets are one class throughout. Components need no link that only repeats them, so every text is
-first compared with the smallest of its pivots, and regions, and later cells, that known links already connect are
-left out. Links become components by `shared.components`."""
+first compared with the smallest of its pivots. Regions that are one such pair are done, and regions, and later cells,
+that known links already connect are left out. Links become components by `shared.components`."""
 
 from __future__ import annotations
 
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textvec.llm.shared import bucketed, components, shingle_set, stash, word_hashes
+from textvec.llm.shared import bucketed, components, mix, shingle_set, stash, word_hashes
 
 #: Regions of up to so many texts and shingles (32 MB) are joined in one task; larger ones are split further.
 REGION, WEIGHT = 1024, 1 << 22
@@ -43,9 +46,9 @@ SALTED = 1024
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
 #: Shingles that are counted together in a task's memory, and how often one must come among them to be reported.
-WINDOW, LEAST = 1 << 21, 4
-#: Most shingles that are ranked by frequency (4 MB, broadcast); all others rank as rare ones.
-COMMON = 1 << 18
+WINDOW, LEAST = 1 << 22, 3
+#: Most shingles that are ranked by frequency (2 MB, broadcast); all others rank as rare ones.
+COMMON = 1 << 17
 _U = np.uint64
 
 
@@ -56,27 +59,33 @@ class Bound:
         if not 0 < num <= den:
             raise ValueError("the similarity must be in (0, 1]")
         self.num, self.den = num, den
+        self.levels = [1]
+        while self.levels[-1] < 1 << 40:
+            b = self.levels[-1]
+            self.levels.append(max(2 * b, -(-b * den // num)))
 
     def differ(self, total: int) -> int:
         """Most shingles in which a linked pair of ``total`` shingles can differ."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def shown(self, n: int) -> int:
-        """How many shingles of a set of ``n`` hold one that any linked set holds among its own."""
-        return n - -(-n * self.num // self.den) + 1
-
-    def first(self, shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The shingles to show: the rarest. ``common`` is sorted, as ``shingles`` is."""
-        most = self.shown(len(shingles))
-        if not len(common):
-            return shingles[:most]
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        known = common[at] == shingles
-        rare = shingles[~known][:most]
-        if len(rare) == most:
-            return rare
-        rest, often = shingles[known], counts[at[known]]
-        return np.concatenate((rare, rest[np.argsort(often, kind="stable")[: most - len(rare)]]))
+    def overlaps(self, n: int) -> list[tuple[int, int]]:
+        """The size levels in which a set of ``n`` meets linked ones, and how many shingles they share at least."""
+        k = int(np.searchsorted(self.levels, n, "right")) - 1
+        out, b = [(k, -(-n * self.num // self.den))], self.levels[k + 1]
+        if n * self.den // self.num >= b:
+            out.append((k + 1, -(-(n + b) * self.num // (self.num + self.den))))
+        return out
+
+    def cells(self, shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The rarest shingles in each level, as cells. ``common`` is sorted, as ``shingles`` is."""
+        order = shingles
+        if len(common):
+            at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+            known = common[at] == shingles
+            rest, often = shingles[known], counts[at[known]]
+            order = np.concatenate((shingles[~known], rest[np.argsort(often, kind="stable")]))
+        n = len(shingles)
+        return np.concatenate([mix(order[: n - least + 1] + _U(level)) for level, least in self.overlaps(n)])
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
@@ -149,7 +158,7 @@ def _entries(width: int, bound: Bound, ranked) -> Callable:
                         if len(shown) >= SHOWN:
                             shown.clear()
                         shown.add(key)
-                        sigs.append(bound.first(s, common, often))
+                        sigs.append(bound.cells(s, common, often))
                         counts[i] = len(sigs[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, counts)), pa.array(np.concatenate(sigs).view(np.int64))], ["id", "sig"])
 
@@ -374,7 +383,8 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
         near = _with_pivot(one, sets).mapInArrow(_linked(num, den), "a long, b long")
         links.append(stash(near, "links"))
         labels = components(links[0])
-        pairs = stash(_unsettled(pairs, labels), "pairs")
+        single = pairs.groupBy("pivot").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).where("size = 1").join(one, ["pivot", "id"], "left_semi")
+        pairs = stash(_unsettled(pairs.join(single.select("pivot"), "pivot", "left_anti"), labels), "pairs")
     while pairs.limit(1).count():
         fits = (F.count(F.lit(1)) < REGION) & (F.sum("n") + F.max("n") * den / num <= WEIGHT)
         sized = pairs.select("pivot", "id").join(pairs.groupBy("pivot").agg(fits.alias("fits")), "pivot")
