@@ -14,6 +14,8 @@ are used, in three layers, each exact:
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
+  Before that, histograms of the hashes, whose differences are a lower bound of the distance, rule out most texts,
+  so that few sets have to travel.
 * *Recursion.* A large region is never gathered. Its texts are compared with the pivot and then stand for their
   symmetric differences with it, which keeps all distances. By the triangle inequality the sizes a and b of two
   linked differences are at most D apart, and unless the pivot connects both they share at least (a + b - D) / 2
@@ -46,7 +48,7 @@ SALTED = 1024
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
 #: Shingles that are counted together in a task's memory, and how often one must come among them to be reported.
-WINDOW, LEAST = 1 << 22, 3
+WINDOW, LEAST = 1 << 21, 3
 #: Most shingles that are ranked by frequency (2 MB, broadcast); all others rank as rare ones.
 COMMON = 1 << 17
 _U = np.uint64
@@ -100,24 +102,32 @@ def _print(s: np.ndarray, empty: bytes = b"") -> bytes:
 
 
 def _frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
-    """A window's frequent shingles, in the columns of sketches: (shingle, count, null, null)."""
+    """A window's frequent shingles, in the columns of sketches: (shingle, count, null, null, null)."""
     values, counts = np.unique(np.concatenate([*sets, np.empty(0, _U)]), return_counts=True)
     some = counts >= LEAST
     none = pa.nulls(int(some.sum()), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), none, none], ["doc_id", "n", "f1", "f2"])
+    cols = [pa.array(values[some].view(np.int64)), pa.array(counts[some].astype(np.int64)), none, none, pa.nulls(len(none), pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "f1", "f2", "hist"])
+
+
+def _histogram(s: np.ndarray) -> bytes:
+    """How many shingles fall into each of 256 equal ranges, 255 at most. The sum of all differences between two
+    histograms is no more than the sets' symmetric difference."""
+    return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
 def _sketch(width: int) -> Callable:
-    """Per document: size and fingerprint of its set. Further rows without a fingerprint: shingles that are frequent
+    """Per document: size, fingerprint and histogram of its set. Further rows without a fingerprint: shingles that are frequent
     in a window, and how often. Copies within a window count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
         total = 0
         for batch in batches:
-            sizes, prints = [], []
+            sizes, prints, hists = [], [], []
             for i, s in enumerate(_shingles(batch, width)):
                 sizes.append(len(s))
+                hists.append(_histogram(s))
                 prints.append(_print(s, b"empty %d %d" % (batch.column("doc_id")[i].as_py() or 0, i)))
                 if len(s) and prints[-1] not in held:
                     held[prints[-1]] = s
@@ -126,7 +136,7 @@ def _sketch(width: int) -> Callable:
                         yield _frequent(list(held.values()))
                         held, total = {}, 0
             f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1])], ["doc_id", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(hists, pa.binary())], ["doc_id", "n", "f1", "f2", "hist"])
         yield _frequent(list(held.values()))
 
     return run
@@ -263,6 +273,25 @@ def _join_region(num: int, den: int) -> Callable:
     return run
 
 
+def _possible(bound: Bound) -> Callable:
+    """Those texts of a region that can be linked with another, by their histograms; the smallest is the new pivot."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        ids, n = table["id"].to_numpy(), table["n"].to_numpy()
+        hist = np.frombuffer(b"".join(table["hist"].to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        keep = np.zeros(len(ids), bool)
+        for i in range(len(ids) - 1):
+            apart = np.abs(hist[i + 1 :] - hist[i]).sum(axis=1, dtype=np.int64)
+            near = apart * (bound.den + bound.num) <= (n[i + 1 :] + n[i]) * (bound.den - bound.num)
+            keep[i] |= near.any()
+            keep[i + 1 :] |= near
+        ids, n = ids[keep], n[keep]
+        return pa.table({"pivot": pa.array(np.repeat(ids[:1], max(0, len(ids) - 1)), pa.int64()), "id": pa.array(ids[1:]), "n": pa.array(n[1:])})
+
+    return run
+
+
 def _class(a: int) -> int:
     """Classes of the sizes of differences, about four to a doubling: 0, 1, 2, 3, 4, 5, 6, 7, 8-9, 10-11, ..."""
     return a if a < 8 else 4 * (a.bit_length() - 2) + (a >> (a.bit_length() - 3) & 3)
@@ -361,7 +390,7 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     text only if no other row has that text."""
     bound = Bound(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stash(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long"), "sketches")
+    sketches = stash(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long, hist binary"), "sketches")
     ranked = docs.sparkSession.sparkContext.broadcast(_ranked(sketches))
     sketches = sketches.where("f1 is not null")
     classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
@@ -371,6 +400,13 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     reps = members.where("rep is not null").select(F.col("doc_id").alias("id"), "rep", F.col("n_shingles").alias("n"))
     pairs = raw.join(reps, "id").select("pivot", F.col("rep").alias("to"), "n").join(reps.drop("n"), F.col("pivot") == reps.id)
     pairs = stash(pairs.select(F.col("rep").alias("pivot"), F.col("to").alias("id"), "n").where("id <> pivot").distinct(), "pairs")
+    sized = pairs.join(pairs.groupBy("pivot").agg((F.count(F.lit(1)) < REGION).alias("fits")), "pivot")
+    small = sized.where("fits").select("pivot", "id")
+    small = small.union(small.select("pivot", F.col("pivot").alias("id")).distinct())
+    met = small.select("id").distinct()
+    hists = sketches.where("n > 0").select(F.col("doc_id").alias("id"), "n", "hist").join(met, "id", "left_semi").dropDuplicates(["id"])
+    small = small.join(hists, "id").groupBy("pivot").applyInArrow(_possible(bound), "pivot long, id long, n long")
+    pairs = stash(small.union(sized.where("not fits").select("pivot", "id", "n")).distinct(), "pairs")
     wanted = pairs.select("id").union(pairs.select("pivot")).distinct()
     wanted = stash(wanted, "wanted")
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
