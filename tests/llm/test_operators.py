@@ -181,6 +181,16 @@ def test_html(spark):
     assert html_extract(df.limit(0)).count() == 0
 
 
+def test_html_articles_use_wrapper(spark):
+    from textvec.llm.html_wrapper import html_extract
+
+    page = "<body><nav>News</nav><article><h1>{0}</h1><div>Read also our letter</div><p>text {0}</p></article></body>"
+    rows = [(i, f"http://h/{i}", page.format(x)) for i, x in enumerate(("a", "News", "c"))] + [(9, "http://one/1", page.format("d")), (10, "http://same/1", page.format("e")), (11, "http://same/2", page.format("e").replace("News", "Olds"))]
+    found = {r.page_id: r.text for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "{0}\n\nRead also our letter\n\ntext {0}"
+    assert found == {0: "a\n\ntext a", 1: "News\n\ntext News", 2: "c\n\ntext c", 9: whole.format("d"), 10: whole.format("e"), 11: whole.format("e")}
+
+
 def test_licenses(odd):
     from textvec.llm.license_scan import TEMPLATES, Scanner, license_scan
 

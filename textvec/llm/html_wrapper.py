@@ -6,22 +6,26 @@ what only one side has becomes an optional group. Wrappers align with wrappers i
 folded within each task, then by (host, salt), then by host, and no task sees all pages of a large host. A wrapper
 of more than ``MOST`` tokens says that the host has no common template, and is dropped.
 
-Extraction leaves out what no article holds: scripts, styles, forms, menus, headers, footers, sidebars, and boxes
-whose class, id or role names a notice, an advert or comments. If the page has an ``article`` or ``main``, only what
-is inside counts. Otherwise the wrapper decides: a text that is the same on all pages of the host is template."""
+Extraction takes the wrapper's slots: a text that is the same on all pages of the host is template and left out, inside
+articles as well as outside; only an article of which nothing would be left stays whole. Tags and names label regions: no
+article holds scripts, styles, forms, menus, headers, footers, sidebars, and boxes whose class, id or role names a
+notice, an advert or comments, and if the page has an ``article`` or ``main``, only what is inside counts."""
 
 from __future__ import annotations
 
 import html
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 1500
+#: Marks texts inside of an article, so that one is never taken for the same text in a menu.
+INSIDE = "\x01"
 #: A host's pages meet its wrapper in so many parts, so that a large host is no single task.
 SALTS = 32
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
@@ -51,6 +55,10 @@ def _boxed(attrs: str) -> bool:
     return bool(re.search(r"\shidden(?=\s|/|$)", attrs))
 
 
+def _mark(text: str, inside: bool) -> str:
+    return INSIDE + text if inside else text
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     """The text blocks of a page as (path, text, skipped, in an article), and its token stream.
 
@@ -66,7 +74,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
         if text:
             _, skip, inside = stack[-1] if stack else ("", False, False)
             out.append(("/".join(s[0] for s in stack[-4:]), text, skip, inside))
-            stream.append("=" + text)
+            stream.append("=" + _mark(text, inside))
 
     at = 0
     while at < len(page):
@@ -165,6 +173,14 @@ def fold(nodes: list, longest: int = 8) -> list:
     return out
 
 
+def _optional(nodes: list) -> list:
+    """Nodes that only one side has, as optional groups; those that are optional already stay."""
+    out: list = []
+    for old, group in groupby(nodes, lambda n: isinstance(n, list) and n[0] == "opt"):
+        out += group if old else [["opt", list(group)]]
+    return out
+
+
 def align(a: list, b: list) -> list:
     """One wrapper for what both describe: the longest common run of nodes, and optional groups for the rest."""
     if a == b:
@@ -187,17 +203,7 @@ def align(a: list, b: list) -> list:
     lone: list = []
 
     def settle() -> None:
-        group: list = []
-        for n in lone:
-            if isinstance(n, list) and n[0] == "opt":
-                if group:
-                    out.append(["opt", group[:]])
-                    group.clear()
-                out.append(n)
-            else:
-                group.append(n)
-        if group:
-            out.append(["opt", group[:]])
+        out.extend(_optional(lone))
         lone.clear()
 
     while i < len(x) or j < len(y):
@@ -244,7 +250,7 @@ def host_of(url: str | None) -> str:
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper for each host of a task's pages without an article, with the number of different pages."""
+    """A wrapper for each host of a task's pages, with the number of different pages."""
     found: dict[str, tuple[list | None, int]] = {}
 
     def out() -> pa.RecordBatch:
@@ -254,7 +260,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            if not page or re.search(r"<(article|main)[\s>]", page, re.I):
+            if not page:
                 continue
             own, host = fold(blocks(page)[1]), host_of(url)
             if host in found:
@@ -280,7 +286,7 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON; null for no common template) and pages, from pages(url, html) that have no article."""
+    """host, wrapper (JSON) and the number of different pages, from pages(url, html)."""
     schema = "host string, wrapper string, pages long"
     first = pages.select("url", "html").mapInArrow(_first, schema)
     dealt = first.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(64)))
@@ -288,20 +294,29 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return half.groupBy("host").applyInArrow(_merge, schema)
 
 
-def main_text(page: str | None, wrapper: list | None = None, pages: int = 0) -> str:
-    """The main text of a page: blocks in page order, two line breaks between them."""
+def main_text(page: str | None, fixed: set[str] | frozenset[str] = frozenset()) -> str:
+    """The main text of a page: blocks in page order, two line breaks between them. ``fixed``: the wrapper's constants."""
     found, _ = blocks(page or "")
-    if any(inside for _, _, _, inside in found):
-        return "\n\n".join(text for _, text, skip, inside in found if inside and not skip)
-    fixed = constants(wrapper) if wrapper and pages > 1 else set()
-    return "\n\n".join(text for _, text, skip, _ in found if not skip and text not in fixed)
+    article = any(inside for _, _, _, inside in found)
+    held = [(text, _mark(text, inside) in fixed) for _, text, skip, inside in found if not skip and inside == article]
+    if article and all(same for _, same in held):
+        return "\n\n".join(text for text, _ in held)
+    return "\n\n".join(text for text, same in held if not same)
+
+
+def _fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The constants of each wrapper of more than one page that has any."""
+    for batch in batches:
+        rows = [(h, sorted(constants(json.loads(w) or []))) for h, w, n in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages"))) if n > 1]
+        rows = [x for x in rows if x[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.list_(pa.string()))], ["__host", "fixed"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, len(whole), 512):
             batch = whole.slice(at, 512)
-            texts = [main_text(page, json.loads(w) if w else None, n or 0) for page, w, n in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "pages")))]
+            texts = [main_text(page, frozenset(fixed or ())) for page, fixed in zip(batch.column("html").to_pylist(), batch.column("fixed").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -313,8 +328,8 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ignored."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)^[a-z][a-z0-9+.-]*://|[/?#].*$", "")
-    known = wrappers(slim).where("wrapper <> 'null' and pages > 1").withColumnRenamed("host", "__host")
+    known = wrappers(slim).mapInArrow(_fixed, "__host string, fixed array<string>")
     known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
     joined = slim.join(known, (host == F.col("__host")) & (salt == F.col("__salt")), "left")
-    return joined.select("page_id", "url", "html", "wrapper", "pages").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
