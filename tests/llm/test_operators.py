@@ -191,6 +191,20 @@ def test_html_articles_use_wrapper(spark):
     assert found == {0: "a\n\ntext a", 1: "News\n\ntext News", 2: "c\n\ntext c", 9: whole.format("d"), 10: whole.format("e"), 11: whole.format("e")}
 
 
+def test_html_large_pages(spark):
+    from textvec.llm.html_wrapper import MOST, fold, blocks, html_extract, main_text, size
+
+    page = "<body><div>Same menu</div>{}<div>Same words</div></body>"
+    own = lambda i: "".join(f"<h{1 + (k * i) % 5}>own {i} {k}</h{1 + (k * i) % 5}><{t}>more {i} {k}</{t}>" for k in range(1100) for t in [("p", "pre", "section")[(k * k + i) % 3]])
+    varied = lambda i: "".join(f"<{t}>v {i} {k}</{t}>" for k in range(60) for t in [("p", "pre", "section", "h1", "h2", "h3")[hash((i, k)) % 6]])
+    rows = [(i, "http://large/", page.format(own(i))) for i in range(2)] + [(9, "http://large/", page.format("<p>short</p>"))] + [(20 + i, "http://varied/", page.format(varied(i))) for i in range(60)]
+    assert size(fold(blocks(rows[1][2])[1])) > MOST
+    found = {r.page_id: r.text for r in html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: main_text(html, {"Same menu", "Same words"}) for i, _, html in rows} and found[9] == "short"
+    only = {r.page_id: r.text for r in html_extract(spark.createDataFrame(rows[:2], "page_id long, url string, html string")).collect()}
+    assert only == {i: found[i] for i in (0, 1)}
+
+
 def test_licenses(odd):
     from textvec.llm.license_scan import TEMPLATES, Scanner, license_scan
 

@@ -3,8 +3,9 @@
 A page is a stream of tags and text blocks. Tandem repeats of a stream fold into repeated groups. A host's wrapper
 starts as its first page; each further page is aligned with it: equal tokens stay, texts that differ become slots,
 what only one side has becomes an optional group. Wrappers align with wrappers in the same way, so a host's pages are
-folded within each task, then by (host, salt), then by host, and no task sees all pages of a large host. A wrapper
-of more than ``MOST`` tokens says that the host has no common template, and is dropped.
+folded within each task, then by (host, salt), then by host, and no task sees all pages of a large host. All pages
+take part, whatever their size. A wrapper that grows beyond ``MOST`` tokens loses its optional groups, which hold no
+text that all pages have, and keeps its mandatory part, which is never larger than the smallest page.
 
 Extraction takes the wrapper's slots: a text that is the same on all pages of the host is template and left out, inside
 articles as well as outside; only an article of which nothing would be left stays whole. Tags and names label regions: no
@@ -16,6 +17,8 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST = 1500
+#: Up to so many cells of a table, runs of nodes are aligned by their longest common run, else between nodes that each has once.
+TABLE = 1_000_000
 #: Marks texts inside of an article, so that one is never taken for the same text in a menu.
 INSIDE = "\x01"
 #: A host's pages meet its wrapper in so many parts, so that a large host is no single task.
@@ -181,6 +186,28 @@ def _optional(nodes: list) -> list:
     return out
 
 
+def _anchors(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of equal nodes that both sides have once, in the longest run with the same order on both."""
+    places: list[dict[str, int]] = []
+    for nodes in (x, y):
+        keys = [n if isinstance(n, str) else json.dumps(n) for n in nodes]
+        often = Counter(keys)
+        places.append({k: i for i, k in enumerate(keys) if often[k] == 1})
+    met = [(i, places[1][k]) for k, i in places[0].items() if k in places[1]]
+    ends: list[int] = []  # of the runs of each length, the smallest last place in y
+    last: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(met):
+        n = bisect_left(ends, j)
+        back.append(last[n - 1] if n else -1)
+        ends[n : n + 1], last[n : n + 1] = [j], [k]
+    run, k = [], last[-1] if last else -1
+    while k >= 0:
+        run.append(met[k])
+        k = back[k]
+    return run[::-1]
+
+
 def align(a: list, b: list) -> list:
     """One wrapper for what both describe: the longest common run of nodes, and optional groups for the rest."""
     if a == b:
@@ -194,6 +221,16 @@ def align(a: list, b: list) -> list:
     while tail < min(len(a), len(b)) - head and _same(a[-1 - tail], b[-1 - tail]):
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if len(x) * len(y) > TABLE:
+        out, i, j = [_join(p, q) for p, q in zip(a[:head], b[:head])], 0, 0
+        for m, n in [*_anchors(x, y), (len(x), len(y))]:
+            if (m - i) * (n - j) <= TABLE:
+                out += align(x[i:m], y[j:n])
+            else:
+                out += _optional([*x[i:m], *y[j:n]])
+            out += x[m : m + 1]
+            i, j = m + 1, n + 1
+        return out + [_join(p, q) for p, q in zip(a[len(a) - tail :], b[len(b) - tail :])]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -237,12 +274,15 @@ def constants(nodes: list) -> set[str]:
     return out
 
 
-def merge(a: list | None, b: list | None) -> list | None:
-    """The wrapper of two sets of pages; None, once reached, stays: no common template."""
-    if a is None or b is None or size(a) + size(b) > 2 * MOST:
-        return None
+def mandatory(nodes: list) -> list:
+    """A wrapper without its optional groups: what all pages have."""
+    return [n if isinstance(n, str) or n[0] == "slot" else [n[0], mandatory(n[1])] for n in nodes if n[0] != "opt"]
+
+
+def merge(a: list, b: list) -> list:
+    """The wrapper of two sets of pages; of one that grows too large, the mandatory part."""
     both = align(a, b)
-    return both if size(both) <= MOST else None
+    return both if size(both) <= MOST else mandatory(both)
 
 
 def host_of(url: str | None) -> str:
@@ -251,7 +291,7 @@ def host_of(url: str | None) -> str:
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A wrapper for each host of a task's pages, with the number of different pages."""
-    found: dict[str, tuple[list | None, int]] = {}
+    found: dict[str, tuple[list, int]] = {}
 
     def out() -> pa.RecordBatch:
         rows = list(found.items())
@@ -267,7 +307,7 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wrapper, n = found[host]
                 found[host] = (merge(wrapper, own), n + 1) if wrapper != own else (wrapper, n)
             else:
-                found[host] = (own if size(own) <= MOST else None, 1)
+                found[host] = (own, 1)
             if len(found) > 2000:
                 yield out()
     if found:
@@ -307,7 +347,7 @@ def main_text(page: str | None, fixed: set[str] | frozenset[str] = frozenset())
 def _fixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The constants of each wrapper of more than one page that has any."""
     for batch in batches:
-        rows = [(h, sorted(constants(json.loads(w) or []))) for h, w, n in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages"))) if n > 1]
+        rows = [(h, sorted(constants(json.loads(w)))) for h, w, n in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "pages"))) if n > 1]
         rows = [x for x in rows if x[1]]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.list_(pa.string()))], ["__host", "fixed"])
 
