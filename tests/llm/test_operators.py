@@ -73,6 +73,26 @@ def test_jaccard_components(spark, docs, width, num):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(table, width, num)
 
 
+@pytest.mark.parametrize("region", [1024, 16])
+def test_jaccard_every_link(spark, monkeypatch, region):
+    from textvec.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "REGION", region)
+    monkeypatch.setattr(j, "BLOCK", region // 2)
+    table = mutants(160) + [(200 + i, t) for i, t in mutants(20)]
+    sets, first = {i: shingles(t, 3) for i, t in table}, {}
+    for i, _ in table:
+        first.setdefault(sets[i], i)
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    found = [tuple(r) for r in j.jaccard_links(df, 3, 80, 100)[1].collect()]
+    assert len(want) > 2 * len(reps) and sorted(found) == sorted(want)
+    rows = {r.doc_id: (r.component_id, r.n_links) for r in j.jaccard_join(df, 3, 80, 100).collect()}
+    whole = brute_components(table, 3, 80)
+    assert rows == {i: (whole[i][1], sum(first[sets[i]] in p for p in want)) for i in sets}
+
+
 def test_jaccard_odd(odd):
     from textvec.llm.jaccard_join import jaccard_components
 

@@ -22,9 +22,11 @@ are used, in three layers, each exact:
   elements, so one of the rarest a - (a + b - D) / 2 + 1 of each. Those elements, by classes of a and b, make new
   cells with pivots of their own.
 
-Texts with equal sets are one class throughout. Components need no link that only repeats them, so every text is
-first compared with the smallest of its pivots. Regions that are one such pair are done, and regions, and later cells,
-that known links already connect are left out. Links become components by `shared.components`."""
+Texts with equal sets are one class throughout. Every text is first compared with the smallest of its pivots, and regions
+that are one such pair are done. `jaccard_links` and `jaccard_join` find every link between classes: small regions are
+joined as said, and of a large one each two blocks of BLOCK texts meet in a task. `jaccard_components` asks for no link
+that only repeats a component: regions, and later cells, that known links already connect are left out, and large
+regions go through the recursion. Links become components by `shared.components`."""
 
 from __future__ import annotations
 
@@ -45,6 +47,8 @@ REGION, WEIGHT = 1024, 1 << 22
 SLOTS = 1 << 26
 #: Texts that are compared with a pivot in one task.
 SALTED = 1024
+#: Texts of a block, of which each two of a large region are compared for all links.
+BLOCK = 512
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
 #: Shingles that are counted together in a task's memory, and how often one must come among them to be reported.
@@ -206,10 +210,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
 
 
-def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect all that is linked within a region: Voronoi regions around pivots, joined recursively; texts
-    whose distances to the nearest and to another pivot differ by up to twice the radius are members of both. Texts
-    that found links connect already are not compared."""
+def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, every: bool = False) -> list[tuple[int, int]]:
+    """Every link within a region, or else links that connect all that is linked: Voronoi regions around pivots, joined recursively; texts
+    whose distances to the nearest and to another pivot differ by up to twice the radius are members of both. Unless
+    ``every`` link is asked for, texts that found links connect already are not compared."""
     radius = 1 - num / den
     seen: dict[tuple[int, int], float] = {}
     links = []
@@ -237,7 +241,7 @@ def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
         if len(members) <= 4:
             for k, i in enumerate(members):
                 for j in members[k + 1 :]:
-                    if root(i) != root(j):
+                    if every or root(i) != root(j):
                         distance(i, j)
             return
         pivots = [members[0]]
@@ -258,21 +262,54 @@ def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int) ->
             return
         for k, i in enumerate(members):  # no pivot separates these: only the windows do
             for m in range(k + 1, len(members)):
-                if root(i) != root(members[m]) and all(abs(d[k] - d[m]) <= radius + 1e-9 for d in to):
+                if (every or root(i) != root(members[m])) and all(abs(d[k] - d[m]) <= radius + 1e-9 for d in to):
                     distance(i, members[m])
 
     join(sorted(range(len(ids)), key=ids.__getitem__))
     return links
 
 
-def _join_region(num: int, den: int) -> Callable:
+def _join_region(num: int, den: int, every: bool = False) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        found = region_links(table["id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()], num, den)
+        found = region_links(table["id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()], num, den, every)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
+def _join_blocks(bound: Bound) -> Callable:
+    """Every link between two blocks of a region (or within one): histograms rule out, then sets are compared."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        hist = np.array([np.bincount((x & _U(255)).astype(np.int64), minlength=256) for x in sets], np.int32)
+        low, high = (k.as_py() for k in key[1:])
+        a, b = [], []
+        for i in np.flatnonzero(block == low):
+            to = np.flatnonzero((block == high) if low < high else (np.arange(len(ids)) > i))
+            to = to[np.abs(hist[to] - hist[i]).sum(axis=1, dtype=np.int64) * (bound.den + bound.num) <= (n[to] + n[i]) * (bound.den - bound.num)]
+            for j in to:
+                both = _common(sets[i], sets[j])
+                if bound.den * both >= bound.num * (n[i] + n[j] - both):
+                    a.append(min(ids[i], ids[j]))
+                    b.append(max(ids[i], ids[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _block_links(large: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+    """Every link within large regions (pivot, id): each two blocks of a region's texts meet in one task."""
+    whole = large.union(large.select("pivot", F.col("pivot").alias("id")).distinct())
+    sizes = large.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).alias("parts"))
+    dealt = whole.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block")
+    return dealt.join(sets, "id").groupBy("pivot", "low", "high").applyInArrow(_join_blocks(bound), "a long, b long")
+
+
 def _possible(bound: Bound) -> Callable:
     """Those texts of a region that can be linked with another, by their histograms; the smallest is the new pivot."""
 
@@ -379,13 +416,13 @@ def _unsettled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(seen.select("pivot"), "pivot", "left_semi")
 
 
-def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of documents with equal shingle sets, and the links between classes.
 
     Returns ``(members, links, labels)``: members(doc_id, n_shingles, rep) has a row per input row, rep being the smallest
     doc_id with the same set (null for a set without shingles); links(a, b) holds pairs of reps with
-    ``den * |a & b| >= num * |a | b|``, enough of them to connect every component, and each of them true; labels(id, component) has the
-    smallest reachable id of each rep that is linked.
+    ``den * |a & b| >= num * |a | b|``, a < b: every one of them once, or, without ``every``, enough true ones to connect every
+    component, in any order and maybe repeated; labels(id, component) has the smallest reachable id of each rep that is linked.
     ``doc_id`` identifies a text: rows that repeat it must repeat its text. A null id has a null rep of its own
     text only if no other row has that text."""
     bound = Bound(num, den)
@@ -418,15 +455,19 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
         one = pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))
         near = _with_pivot(one, sets).mapInArrow(_linked(num, den), "a long, b long")
         links.append(stash(near, "links"))
-        labels = components(links[0])
+        labels = None if every else components(links[0])
         single = pairs.groupBy("pivot").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).where("size = 1").join(one, ["pivot", "id"], "left_semi")
-        pairs = stash(_unsettled(pairs.join(single.select("pivot"), "pivot", "left_anti"), labels), "pairs")
+        pairs = pairs.join(single.select("pivot"), "pivot", "left_anti")
+        pairs = stash(pairs if every else _unsettled(pairs, labels), "pairs")
     while pairs.limit(1).count():
         fits = (F.count(F.lit(1)) < REGION) & (F.sum("n") + F.max("n") * den / num <= WEIGHT)
         sized = pairs.select("pivot", "id").join(pairs.groupBy("pivot").agg(fits.alias("fits")), "pivot")
         small = sized.where("fits").select("pivot", "id")
         small = small.union(small.select("pivot", F.col("pivot").alias("id")).distinct())
-        links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den), "a long, b long"), "links"))
+        links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den, every), "a long, b long"), "links"))
+        if every:
+            links.append(stash(_block_links(sized.where("not fits").select("pivot", "id"), sets, bound), "links"))
+            break
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links[-1])
         large = sized.where("not fits").select("pivot", "id")
         if not large.limit(1).count():
@@ -450,6 +491,8 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     found = links[0] if links else pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     for more in links[1:]:
         found = found.union(more)
+    if every:
+        found = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     return members, found, components(found) if labels is None else labels
 
 
@@ -459,6 +502,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     Null and empty texts have no shingles and stand alone, as do texts of a null id. An empty table gives an empty
     result; further columns of ``docs`` are ignored whatever their names."""
-    members, _, labels = jaccard_links(docs, width, num, den, id_col, text_col)
+    members, _, labels = jaccard_links(docs, width, num, den, id_col, text_col, every=False)
     found = members.join(labels, members.rep == labels.id, "left")
     return found.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `jaccard_components`, and n_links: the links of the document's class with other classes, every one of them verified."""
+    members, links, labels = jaccard_links(docs, width, num, den, id_col, text_col)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    found = members.join(labels.join(ends, "id"), members.rep == F.col("id"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

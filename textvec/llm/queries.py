@@ -13,9 +13,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from textvec.llm.jaccard_join import jaccard_components
+    from textvec.llm.jaccard_join import jaccard_join
 
-    return jaccard_components(_read(spark, sf_dir, "documents"), 3, 90, 100)
+    return jaccard_join(_read(spark, sf_dir, "documents"), 3, 90, 100)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
