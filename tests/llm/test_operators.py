@@ -272,3 +272,24 @@ def test_pipeline(spark, odd):
     assert kept == [3, 4, 4, 5, 8, None]  # 5 has lost its one line to 4
     assert {r.doc_id for r in p.STAGES[-1][1](spark, docs, "").collect()} == set(kept)
     assert p.run(spark, SF).count() > 0
+
+
+def test_search_blocks(spark, monkeypatch):
+    from textvec.operators import search
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(90)], "row_id long, vec array<double>")
+    asked = rows.withColumnRenamed("row_id", "query_id")
+    whole = sorted(map(tuple, search.top_k_batched(rows, asked, 3).collect()))
+    monkeypatch.setattr(search, "BLOCK", 20)
+    found = search.top_k_batched(rows, asked, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 270 and plan.count("BroadcastExchange") >= 5 and "SortMergeJoin" not in plan
+
+
+def test_bootstrap_asks_all(spark):
+    from textvec.plans import catalogue
+
+    assert catalogue._relevance(spark, SF, "row_id is not null")[1].count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    wide, narrow = ({r.metric: r.ci_hi - r.ci_lo for r in f.collect()} for f in (catalogue.bootstrap_ci(spark, SF), catalogue.evaluate.bootstrap(catalogue.evaluate.query_metrics(*catalogue._relevance(spark, SF), 3), 200)))
+    assert set(wide) == set(narrow) and wide["rr"] < narrow["rr"]

@@ -62,22 +62,26 @@ def top_k(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", i
 def top_k_batched(rows: DataFrame, queries: DataFrame, k: int | None, metric: str = "cosine", id_col: str = "row_id", vector_col: str = "vec", query_col: str = "query_id") -> DataFrame:
     """query_id, rank, row_id, score for every query; ``k`` None ranks all rows. Zero queries have no cosine.
 
-    Queries are taken in blocks of ``BLOCK``: each block meets every row once, and a per-query limit within the
+    Queries are taken in blocks of about ``BLOCK``, dealt by a hash of their id: each block meets every row once, and a per-query limit within the
     tasks comes before the shuffle."""
     if k is not None and k < 1:
         raise InvalidOption("k must be positive")
     q = queries.select(F.col(query_col).alias("query_id"), F.col(vector_col).alias("q"))
     if metric == "cosine":
         q = q.where(square(F.col("q")) > 0)
-    pairs = rows.select(F.col(id_col).alias("row_id"), F.col(vector_col).alias("v")).join(_bounded(q), F.size("v") == F.size("q"))
-    scored = _admit(pairs.select("query_id", "row_id", _score(F.col("q"), F.col("v"), metric).alias("score")))
+    slim, scored = rows.select(F.col(id_col).alias("row_id"), F.col(vector_col).alias("v")), None
+    for block in _blocks(q):
+        pairs = slim.join(F.broadcast(block), F.size("v") == F.size("q"))
+        part = _admit(pairs.select("query_id", "row_id", _score(F.col("q"), F.col("v"), metric).alias("score")))
+        scored = part if scored is None else scored.unionByName(part)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "row_id", "score")
 
 
-def _bounded(queries: DataFrame) -> DataFrame:
-    """Broadcast the queries if they are at most a block; else leave the join to Spark."""
-    return F.broadcast(queries) if queries.limit(BLOCK + 1).count() <= BLOCK else queries
+def _blocks(queries: DataFrame) -> list[DataFrame]:
+    """The queries in as many parts as hold about ``BLOCK`` each; every part is broadcast by itself."""
+    parts = max(1, -(-queries.count() // BLOCK))
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)] if parts > 1 else [queries]
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:

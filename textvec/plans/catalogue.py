@@ -343,12 +343,12 @@ def embed_empty_zero(spark, d):
 # ---- evaluation -------------------------------------------------------------------------------------------------
 
 
-def _relevance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Full rankings of labels' centroids by the first twenty vectors, and each vector's own label as relevant."""
+def _relevance(spark: SparkSession, d: str, which: str = "row_id < 20") -> tuple[DataFrame, DataFrame]:
+    """Full rankings of labels' centroids by the vectors asked for, and each vector's own label as relevant."""
     v = _vectors(spark, d)
     cells = v.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     docs = cells.groupBy(F.col("label").alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c.x).alias("vec"))
-    asked = v.where("row_id < 20")
+    asked = v.where(which)
     ranking = search.top_k_batched(docs, asked.withColumnRenamed("row_id", "query_id"), None)
     return ranking, asked.select(F.col("row_id").alias("query_id"), F.col("label").alias("doc_id"))
 
@@ -382,7 +382,8 @@ def random_baseline(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    ranking, qrels = _relevance(spark, d)
+    """Over all vectors that have an id."""
+    ranking, qrels = _relevance(spark, d, "row_id is not null")
     return evaluate.bootstrap(evaluate.query_metrics(ranking, qrels, 3), 200)
 
 
