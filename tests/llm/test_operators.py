@@ -235,6 +235,20 @@ def test_licenses(odd):
     assert license_scan(odd).where("license is not null").count() == 0 and license_scan(odd.limit(0)).count() == 0
 
 
+def test_license_windows(spark):
+    import textwrap
+
+    from textvec.llm.license_scan import FULL, TEMPLATES, Scanner, license_matches
+
+    scanner, filler = Scanner(TEMPLATES, 0.8), "other words of no licence at all, again and again " * 30
+    for name, text in TEMPLATES.items():
+        for doc, line in ((f"{filler}\n" + textwrap.fill(text, 40, break_long_words=False) + f"\n{filler}", 2), (filler + text + " " + filler, 1)):
+            assert (name, 1.0, line) in scanner.every(doc)
+    texts = [filler + "\n" + "\n".join(textwrap.fill(t, 80, break_long_words=False) for t in [*FULL.values(), TEMPLATES["MPL-2.0"]]), filler, None]
+    found = {(r.doc_id, r.license) for r in license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {(0, n) for n in (*FULL, "MPL-2.0", "MIT-notice")}
+
+
 def test_line_dedup(spark, odd):
     from textvec.llm.line_dedup import line_dedup
 
