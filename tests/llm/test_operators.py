@@ -93,6 +93,35 @@ def test_jaccard_every_link(spark, monkeypatch, region):
     assert rows == {i: (whole[i][1], sum(first[sets[i]] in p for p in want)) for i in sets}
 
 
+def test_word_hashes_of_long_words(spark):
+    """Words whose polynomials modulo 2^64 agree for every base are different words."""
+    from textvec.llm.jaccard_join import jaccard_components
+
+    x = "a"
+    while len(x) < 2048:
+        x += x.translate({97: 98, 98: 97})
+    df = spark.createDataFrame([(1, x), (2, x.translate({97: 98, 98: 97})), (3, x.upper())], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(df, 3, 90, 100).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_jaccard_parts_lose_no_link():
+    """Random sets of all sizes with as many differences as the similarity allows share a cell."""
+    from textvec.llm.jaccard_join import Bound
+
+    rng, none = np.random.default_rng(11), np.empty(0, np.uint64)
+    bound = Bound(90, 100)
+    assert bound.parts and not Bound(80, 100).parts
+    for n in [*range(1, 60), *rng.integers(60, 2000, 30).tolist()]:
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for gone in range(0, n + 1):
+            new = 100 * (n - gone) // 90 - n
+            if new < 0:
+                break
+            b = np.concatenate((a[gone:], rng.integers(0, 1 << 63, new).astype(np.uint64)))
+            cells = [set(bound.cells(np.unique(s), none, none).tolist()) for s in (a, b)]
+            assert cells[0] & cells[1], (n, gone, new)
+
+
 def test_jaccard_odd(odd):
     from textvec.llm.jaccard_join import jaccard_components
 

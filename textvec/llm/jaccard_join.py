@@ -3,14 +3,22 @@
 The Jaccard distance 1 - |x & y| / |x | y| is a metric, and so is the size of the symmetric difference. Both
 are used, in three layers, each exact:
 
-* *Cells.* The overlap of a linked pair is at least t of either set. So in any order that all texts have in common,
-  the first n - ceil(t * n) + 1 shingles of both sets meet in one, and each of these is a cell. The order is by
-  frequency: common shingles come last, so texts that only share a common passage or phrase do not meet. Frequencies
-  are counted over all documents, in windows of WINDOW shingles, each of which reports what it has seen LEAST times;
-  the COMMON most frequent are ranked. A shingle that is missed is in the place of a rare one: no link is lost.
-  Cells are kept apart by sizes in levels that double (or grow by 1/t, if that is more): linked texts are in the same
-  or in neighbouring levels, and a text near the upper end of its level is replicated to the next one (the
-  triangle-inequality window around the empty set), where the larger partners ask for fewer shingles.
+* *Cells.* Texts meet only by sizes in levels that grow by ``grow``: linked texts are in the same or in neighbouring
+  levels, and a text near the upper end of its level is replicated to the next one (the triangle-inequality window
+  around the empty set). Within a level there are two kinds of cells, and the similarity decides which is used:
+
+  - *Parts*, if they hold PART shingles or more on average, as for 0.9. In a level, linked sets differ in D
+    shingles at most. Hashes deal the shingles to more than D parts, and a part that holds no difference is equal in
+    both: each part with all its shingles is a cell. Parts of fewer than two shingles are *weak*. A text with fewer
+    weak parts than parts in excess of D has an equal part that is not weak with each partner, so its weak parts make
+    no cells; a text with more of them shows all. Unrelated texts hardly ever meet, so candidates do not grow
+    faster than the input.
+  - *Rare shingles*, for lower similarities, where parts would be too small. The overlap of a linked pair is at least
+    t of either set. So in any order that all texts have in common, the first n - ceil(t * n) + 1 shingles of both
+    sets meet in one, and each of these is a cell. The order is by frequency: common shingles come last, so texts that
+    only share a common passage or phrase do not meet. Frequencies are counted over all documents, in windows of
+    WINDOW shingles, each of which reports what it has seen LEAST times; the COMMON most frequent are ranked. A
+    shingle that is missed is in the place of a rare one: no link is lost.
 * *Regions.* The smallest document of a cell is its pivot; the documents that share cells with a pivot are its
   region, and every linked pair is in a common region. A small region is joined in memory: pivots, Voronoi
   regions, replication to each pivot whose distance is within twice the radius of the nearest, recursion.
@@ -55,6 +63,8 @@ SHOWN = 1 << 17
 WINDOW, LEAST = 1 << 21, 3
 #: Most shingles that are ranked by frequency (2 MB, broadcast); all others rank as rare ones.
 COMMON = 1 << 17
+#: Shingles of an average part, from which on parts are the cells; how levels of sizes grow then, and parts a difference.
+PART, GROW, SPARE = 4, 1.5, 1.2
 _U = np.uint64
 
 
@@ -65,10 +75,12 @@ class Bound:
         if not 0 < num <= den:
             raise ValueError("the similarity must be in (0, 1]")
         self.num, self.den = num, den
+        self.parts = 2 * PART * GROW * SPARE * (den - num) <= den + num
+        grow = GROW if self.parts else 2
         self.levels = [1]
         while self.levels[-1] < 1 << 40:
             b = self.levels[-1]
-            self.levels.append(max(2 * b, -(-b * den // num)))
+            self.levels.append(max(int(grow * b), b + 1, -(-b * den // num)))
 
     def differ(self, total: int) -> int:
         """Most shingles in which a linked pair of ``total`` shingles can differ."""
@@ -83,7 +95,9 @@ class Bound:
         return out
 
     def cells(self, shingles: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The rarest shingles in each level, as cells. ``common`` is sorted, as ``shingles`` is."""
+        """The cells of a set, sorted as ``shingles`` and ``common`` are: parts, or else the rarest shingles, of each level."""
+        if self.parts:
+            return np.concatenate([self._parts(shingles, level) for level, _ in self.overlaps(len(shingles))])
         order = shingles
         if len(common):
             at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
@@ -93,6 +107,19 @@ class Bound:
         n = len(shingles)
         return np.concatenate([mix(order[: n - least + 1] + _U(level)) for level, least in self.overlaps(n)])
 
+    def _parts(self, shingles: np.ndarray, level: int) -> np.ndarray:
+        most = self.differ(2 * (self.levels[level + 1] - 1))
+        parts = max(most + 1, int(most * SPARE))
+        spread = mix(shingles + _U(level))
+        part = ((spread >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+        size = np.bincount(part, minlength=parts)
+        order = np.argsort(part, kind="stable")
+        sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(spread)[order])))
+        ends = np.cumsum(size)
+        whole = mix(sums[ends] - sums[ends - size] + mix(np.arange(parts, dtype=_U) + _U(level << 40)))
+        strong = size > 1
+        return whole[strong] if parts - most > parts - np.count_nonzero(strong) else whole
+
 
 def _shingles(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
     texts = batch.column("text")
@@ -120,9 +147,9 @@ def _histogram(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> _U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
 
-def _sketch(width: int) -> Callable:
-    """Per document: size, fingerprint and histogram of its set. Further rows without a fingerprint: shingles that are frequent
-    in a window, and how often. Copies within a window count once."""
+def _sketch(width: int, often: bool) -> Callable:
+    """Per document: size, fingerprint and histogram of its set. If ``often``, further rows without a fingerprint: shingles
+    that are frequent in a window, and how often. Copies within a window count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -133,7 +160,7 @@ def _sketch(width: int) -> Callable:
                 sizes.append(len(s))
                 hists.append(_histogram(s))
                 prints.append(_print(s, b"empty %d %d" % (batch.column("doc_id")[i].as_py() or 0, i)))
-                if len(s) and prints[-1] not in held:
+                if often and len(s) and prints[-1] not in held:
                     held[prints[-1]] = s
                     total += len(s)
                     if total >= WINDOW:
@@ -427,8 +454,8 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     text only if no other row has that text."""
     bound = Bound(num, den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stash(docs.mapInArrow(_sketch(width), "doc_id long, n long, f1 long, f2 long, hist binary"), "sketches")
-    ranked = docs.sparkSession.sparkContext.broadcast(_ranked(sketches))
+    sketches = stash(docs.mapInArrow(_sketch(width, not bound.parts), "doc_id long, n long, f1 long, f2 long, hist binary"), "sketches")
+    ranked = docs.sparkSession.sparkContext.broadcast((np.empty(0, _U), np.empty(0, np.int64)) if bound.parts else _ranked(sketches))
     sketches = sketches.where("f1 is not null")
     classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _RUNS: dict[str, str] = {}
+#: Tables in the catalogue that this session has made.
+_TABLES_MADE: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
@@ -30,8 +33,10 @@ def scratch(spark: SparkSession) -> str:
 
 
 def sweep(spark: SparkSession, folder: str) -> None:
-    """Delete a scratch folder; silent once the session has ended."""
+    """Delete a scratch folder and the catalogue's entries of its tables; silent once the session has ended."""
     try:
+        for name in _TABLES_MADE:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     except Exception:  # noqa: BLE001  the JVM may be gone at exit
@@ -59,6 +64,7 @@ def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"textvec_{uuid.uuid4().hex}"
     rows = df if dealt else df.repartition(n, key)
+    _TABLES_MADE.append(name)
     rows.write.bucketBy(n, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -88,6 +94,8 @@ _CHUNK = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _TABLES: dict[str, np.ndarray] = {}
+#: Bytes of a word that are hashed by a polynomial.
+LONG = 64
 #: Fixed value: the bytes that separate words.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -119,7 +127,10 @@ def _tables(n: int) -> dict[str, np.ndarray]:
 
 
 def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word of ``data``; A-Z count as a-z."""
+    """Start and 64-bit hash of every word of ``data``; A-Z count as a-z.
+
+    Words of up to LONG bytes are hashed by a polynomial modulo 2^64. There are longer words that differ and have the
+    same polynomial whatever its base, so longer words take a cryptographic hash each."""
     raw = np.frombuffer(data, np.uint8)
     t = _tables(len(raw) + 1)
     inside = np.concatenate(([False], ~t["space"][raw], [False]))
@@ -127,7 +138,11 @@ def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(t["letter"][raw] * t["power"][: len(raw)], out=total[1:])
-    return start, mix((total[end] - total[start]) * t["inverse"][start] + (end - start).astype(np.uint64))
+    hashes = mix((total[end] - total[start]) * t["inverse"][start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG):
+        word = data[start[i] : end[i]].lower()
+        hashes[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return start, hashes
 
 
 def _long(data: bytes) -> np.ndarray:
