@@ -57,6 +57,8 @@ SLOTS = 1 << 26
 SALTED = 1024
 #: Texts of a block, of which each two of a large region are compared for all links.
 BLOCK = 512
+#: Classes of copies that are broadcast (24 bytes each); more are joined by a shuffle.
+BROADCAST = 1 << 20
 #: Fingerprints that a task remembers to show copies once.
 SHOWN = 1 << 17
 #: Shingles that are counted together in a task's memory, and how often one must come among them to be reported.
@@ -296,15 +298,46 @@ def region_links(ids: list[int], sets: list[np.ndarray], num: int, den: int, eve
     return links
 
 
-def _join_region(num: int, den: int, every: bool = False) -> Callable:
+SPAN = "a long, b long, n long"
+
+
+def _span(links: list[tuple[int, int]], pivot: int, pivots: dict[int, list[int]]) -> pa.Table:
+    """What a region gives of its links, in proportion to its texts: (a, b, null) for links that connect all that is linked,
+    and (a, null, n) for the number of links of each text. A link of texts that also meet at a smaller pivot counts there."""
+    bit: dict[int, int] = {}
+    mask = {i: sum(1 << bit.setdefault(p, len(bit)) for p in own if p < pivot) for i, own in pivots.items()}
+    parent: dict[int, int] = {}
+    often: dict[int, int] = {}
+    tree = []
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            tree.append((a, b))
+        if not mask[a] & mask[b]:
+            often[a] = often.get(a, 0) + 1
+            often[b] = often.get(b, 0) + 1
+    cols = [a for a, _ in tree] + list(often), [b for _, b in tree] + [None] * len(often), [None] * len(tree) + list(often.values())
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip("abn", cols)})
+
+
+def _join_region(num: int, den: int, every: bool = False, count: bool = False) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         found = region_links(table["id"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()], num, den, every)
+        if count:
+            return _span(found, key[0].as_py(), dict(zip(table["id"].to_pylist(), table["pivots"].to_pylist())))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
 
-def _join_blocks(bound: Bound) -> Callable:
+def _join_blocks(bound: Bound, count: bool) -> Callable:
     """Every link between two blocks of a region (or within one): histograms rule out, then sets are compared."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -322,19 +355,21 @@ def _join_blocks(bound: Bound) -> Callable:
                 if bound.den * both >= bound.num * (n[i] + n[j] - both):
                     a.append(min(ids[i], ids[j]))
                     b.append(max(ids[i], ids[j]))
+        if count:
+            return _span(list(zip(map(int, a), map(int, b))), key[0].as_py(), dict(zip(ids.tolist(), table["pivots"].to_pylist())))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _block_links(large: DataFrame, sets: DataFrame, bound: Bound) -> DataFrame:
+def _block_links(large: DataFrame, sets: DataFrame, bound: Bound, count: bool) -> DataFrame:
     """Every link within large regions (pivot, id): each two blocks of a region's texts meet in one task."""
     whole = large.union(large.select("pivot", F.col("pivot").alias("id")).distinct())
     sizes = large.groupBy("pivot").agg(F.ceil((F.count(F.lit(1)) + 1) / BLOCK).alias("parts"))
     dealt = whole.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "id", "block")
-    return dealt.join(sets, "id").groupBy("pivot", "low", "high").applyInArrow(_join_blocks(bound), "a long, b long")
+    return dealt.join(sets, "id").groupBy("pivot", "low", "high").applyInArrow(_join_blocks(bound, count), SPAN if count else "a long, b long")
 
 
 def _possible(bound: Bound) -> Callable:
@@ -443,13 +478,14 @@ def _unsettled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(seen.select("pivot"), "pivot", "left_semi")
 
 
-def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text", every: bool = True, count: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of documents with equal shingle sets, and the links between classes.
 
     Returns ``(members, links, labels)``: members(doc_id, n_shingles, rep) has a row per input row, rep being the smallest
     doc_id with the same set (null for a set without shingles); links(a, b) holds pairs of reps with
     ``den * |a & b| >= num * |a | b|``, a < b: every one of them once, or, without ``every``, enough true ones to connect every
     component, in any order and maybe repeated; labels(id, component) has the smallest reachable id of each rep that is linked.
+    With ``count``, links(id, n) has the number of links of each rep instead, for which every one is verified but none travels.
     ``doc_id`` identifies a text: rows that repeat it must repeat its text. A null id has a null rep of its own
     text only if no other row has that text."""
     bound = Bound(num, den)
@@ -457,8 +493,11 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     sketches = stash(docs.mapInArrow(_sketch(width, not bound.parts), "doc_id long, n long, f1 long, f2 long, hist binary"), "sketches")
     ranked = docs.sparkSession.sparkContext.broadcast((np.empty(0, _U), np.empty(0, np.int64)) if bound.parts else _ranked(sketches))
     sketches = sketches.where("f1 is not null")
-    classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
+    classes = sketches.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = stash(classes.where("rows > 1").drop("rows"), "classes")
+    classes = F.broadcast(classes) if classes.count() <= BROADCAST else classes
+    rep = F.when(F.col("n") > 0, F.coalesce("rep", "doc_id"))
+    members = stash(sketches.join(classes, ["f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), rep.alias("rep")), "members")
     entries = docs.where("doc_id is not null").mapInArrow(_entries(width, bound, ranked), "id long, sig long")
     raw = stash(_star(entries, ["sig"]), "raw")
     reps = members.where("rep is not null").select(F.col("doc_id").alias("id"), "rep", F.col("n_shingles").alias("n"))
@@ -476,14 +515,23 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     slots = docs.sparkSession.sparkContext.broadcast(_slots(wanted))
     near = docs.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).mapInArrow(_sets(width, slots), "id long, shingles binary")
     sets = bucketed(near.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "id", dealt=True)
-    links = []
+    links, counts = [], []
     labels = None
+    if count:
+        within = pairs.select("pivot", "id").union(pairs.select("pivot", F.col("pivot").alias("id"))).distinct()
+        lists = within.groupBy("id").agg(F.collect_list("pivot").alias("pivots"))
+        rich = sets.join(lists, "id")
+    else:
+        rich = sets
     if pairs.limit(1).count():
         one = pairs.groupBy("id").agg(F.min("pivot").alias("pivot"))
         near = _with_pivot(one, sets).mapInArrow(_linked(num, den), "a long, b long")
         links.append(stash(near, "links"))
         labels = None if every else components(links[0])
         single = pairs.groupBy("pivot").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).where("size = 1").join(one, ["pivot", "id"], "left_semi")
+        if count:
+            alone = links[0].join(single.select(F.col("pivot").alias("a"), F.col("id").alias("b")), ["a", "b"], "left_semi")
+            counts.append(alone.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")))
         pairs = pairs.join(single.select("pivot"), "pivot", "left_anti")
         pairs = stash(pairs if every else _unsettled(pairs, labels), "pairs")
     while pairs.limit(1).count():
@@ -491,9 +539,12 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
         sized = pairs.select("pivot", "id").join(pairs.groupBy("pivot").agg(fits.alias("fits")), "pivot")
         small = sized.where("fits").select("pivot", "id")
         small = small.union(small.select("pivot", F.col("pivot").alias("id")).distinct())
-        links.append(stash(small.join(sets, "id").groupBy("pivot").applyInArrow(_join_region(num, den, every), "a long, b long"), "links"))
+        links.append(stash(small.join(rich, "id").groupBy("pivot").applyInArrow(_join_region(num, den, every, count), SPAN if count else "a long, b long"), "links"))
         if every:
-            links.append(stash(_block_links(sized.where("not fits").select("pivot", "id"), sets, bound), "links"))
+            links.append(stash(_block_links(sized.where("not fits").select("pivot", "id"), rich, bound, count), "links"))
+            if count:
+                counts += [found.where("b is null").select(F.col("a").alias("id"), "n") for found in links[1:]]
+                links[1:] = [found.where("b is not null").select("a", "b") for found in links[1:]]
             break
         known = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links[-1])
         large = sized.where("not fits").select("pivot", "id")
@@ -518,6 +569,11 @@ def jaccard_links(docs: DataFrame, width: int, num: int, den: int, id_col: str =
     found = links[0] if links else pairs.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     for more in links[1:]:
         found = found.union(more)
+    if count:
+        whole = counts[0] if counts else found.select(F.col("a").alias("id"), F.lit(1).cast("long").alias("n"))
+        for more in counts[1:]:
+            whole = whole.union(more)
+        return members, stash(whole.groupBy("id").agg(F.sum("n").alias("n")), "counts"), components(found)
     if every:
         found = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     return members, found, components(found) if labels is None else labels
@@ -536,7 +592,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As `jaccard_components`, and n_links: the links of the document's class with other classes, every one of them verified."""
-    members, links, labels = jaccard_links(docs, width, num, den, id_col, text_col)
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = members.join(labels.join(ends, "id"), members.rep == F.col("id"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    members, counts, labels = jaccard_links(docs, width, num, den, id_col, text_col, count=True)
+    found = members.join(labels.join(counts, "id"), members.rep == F.col("id"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
