@@ -62,7 +62,7 @@ class Bpe:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        self.split = re.compile("(" + ("|".join(map(re.escape, self.special)) or "(?!)") + ")")
         self._text, self._library = text, None
         self.memo: dict[str, bytes] = {}
 

@@ -14,12 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from textvec.llm.bpe import chunks
 from textvec.llm.shared import mix
 
 #: Components of a vector.
 DIM = 512
+#: Most cells of a chunk's counts (64 MB while they are summed), and trigrams whose vectors are made at a time (32 MB).
+CELLS, GRAMS = 1 << 23, 1 << 14
 UNKNOWN = "und"
 _FOLD: list[np.ndarray] = []
 _U = np.uint64
@@ -45,8 +48,11 @@ def letter_vectors(letters: np.ndarray, dim: int = DIM) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
-def profile(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a chunk of texts: counts (texts x trigrams), the trigrams' vectors, and which texts have a letter."""
+def profile(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For a chunk of texts: their vectors (texts x DIM), and which of them have a letter.
+
+    Counts are a matrix (texts x trigrams) of CELLS at most; a chunk with more of them is halved. Vectors of trigrams are
+    made GRAMS at a time. So memory is bounded by the chunk's text, whatever its script."""
     sizes = np.array([len(t) + 2 for t in texts])
     raw = np.frombuffer(" ".join(f"{t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = _fold()[np.concatenate((np.array([32], np.uint32), raw))]
@@ -69,12 +75,16 @@ def profile(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         gram = at[gram]
     else:
         found, gram = np.unique(gram, return_inverse=True)
+    if len(texts) > 1 and len(texts) * len(found) > CELLS:
+        halves = [profile(part) for part in (texts[: len(texts) // 2], texts[len(texts) // 2 :])]
+        return np.concatenate([v for v, _ in halves]), np.concatenate([x for _, x in halves])
     counts = np.bincount(owner * max(1, len(found)) + gram, minlength=len(texts) * max(1, len(found))).reshape(len(texts), -1).astype(np.float32)
     base = letter_vectors(present)
-    vectors = np.roll(base, 2, 1)[found // (size * size)] * np.roll(base, 1, 1)[found // size % size] * base[found % size]
-    if not len(found):
-        vectors = np.zeros((1, DIM), np.float32)
-    return counts, vectors, lettered
+    first, second, own = np.roll(base, 2, 1), np.roll(base, 1, 1), np.zeros((len(texts), DIM), np.float32)
+    for lo in range(0, len(found), GRAMS):
+        g = found[lo : lo + GRAMS]
+        own += counts[:, lo : lo + GRAMS] @ (first[g // (size * size)] * second[g // size % size] * base[g % size])
+    return own, lettered
 
 
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,11 +94,10 @@ def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in chunks(x.as_py() for x in batch.column("text")):
             langs = batch.column("lang").slice(at, len(texts)).to_pylist()
             at += len(texts)
-            counts, vectors, _ = profile(texts)
+            own, _ = profile(texts)
             names = sorted(set(langs))
-            rows = np.array([[x == name for x in langs] for name in names], np.float32) @ counts
-            for name, vector in zip(names, rows @ vectors):
-                total[name] = total.get(name, 0) + vector.astype(np.float64)
+            for name, vector in zip(names, np.array([[x == name for x in langs] for name in names], np.float64) @ own):
+                total[name] = total.get(name, 0) + vector
     if total:
         yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([np.rint(v).astype(np.int64) for v in total.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
@@ -103,36 +112,50 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
     return {k: v / np.linalg.norm(v) for k, v in sorted(out.items()) if v.any()}
 
 
-def _predict(model) -> Callable:
+def _predict(model, text: str, names: list[str]) -> Callable:
+    """Append the language and the score of the column ``text`` to each batch; ``names`` are the columns that come out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = model.value
+        known, matrix = model.value
         for batch in batches:
             at = 0
-            for texts in chunks(x.as_py() for x in batch.column("text")):
+            for texts in chunks(x.as_py() for x in batch.column(text)):
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
                 langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                counts, vectors, lettered = profile(texts)
-                if names:
-                    own = counts @ vectors
+                own, lettered = profile(texts)
+                if known:
                     cosine = (own @ matrix.T) / np.maximum(np.linalg.norm(own, axis=1), 1e-9)[:, None]
                     best = cosine.argmax(1)
                     for i in np.flatnonzero(lettered):
-                        langs[i], scores[i] = names[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
-                cols = [rows.column(c) for c in rows.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [c for c in rows.schema.names if c != "text"] + ["lang_pred", "score"])
+                        langs[i], scores[i] = known[best[i]], min(1.0, max(0.0, float(cosine[i, best[i]])))
+                cols = [rows.column(c) for c in names[:-2]]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     return run
 
 
+def _model(spark, prototypes: dict[str, np.ndarray]):
+    return spark.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values()), np.float32)))
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score (the cosine, at least 0) of every row.
 
     A text that is null or has no letter is `und` with score 0; so is every text if nothing was learned. Ties go to
     the language first in order. Repeated rows are predicted row by row; other columns are ignored."""
-    model = docs.sparkSession.sparkContext.broadcast((list(prototypes), np.array(list(prototypes.values()), np.float32)))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    names = ["doc_id", "lang_pred", "score"]
+    return slim.mapInArrow(_predict(_model(docs.sparkSession, prototypes), "text", names), "doc_id long, lang_pred string, score double")
+
+
+def annotate(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All rows and columns of ``docs`` with two more, as `identify` gives them; nothing is shuffled. Columns that have the
+    names of the new ones already are an error: choose others."""
+    if {pred, score} & set(docs.columns):
+        raise ValueError(f"{pred} or {score} is a column already")
+    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    return docs.mapInArrow(_predict(_model(docs.sparkSession, prototypes), text_col, schema.names), schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textvec.llm.bpe import chunks, load
+from textvec.llm.shared import stash
+
+#: Steps of counts to a doubling, by which frequent pieces are told.
+STEPS = 16
 
 _MAPPED: dict[str, "Lexicon"] = {}
 
@@ -146,11 +150,23 @@ def _count(spec, held: int) -> Callable:
 
 
 def frequent_pieces(docs: DataFrame, tokenizer_json: str, size: int, text_col: str = "text") -> list[str]:
-    """The ``size`` most frequent pieces of all texts, ties to the smaller piece; those seen once are left out."""
+    """The most frequent pieces of all texts, ``size`` at most; those seen once are left out.
+
+    Counts are summed up by STEPS steps to a doubling. The pieces from the lowest step on with which there are not more
+    than ``size`` come to the driver, and no others."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count(spec, 200_000), "piece string, n long")
-    total = counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
-    return [r.piece for r in total.orderBy(F.desc("n"), "piece").limit(size).collect()]
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    total = stash(counts.groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").withColumn("step", step), "pieces")
+    left, least = size, None
+    for r in sorted(total.groupBy("step").count().collect(), key=lambda r: -r.step):  # 63 * STEPS rows at most
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return sorted(r.piece for r in total.where(F.col("step") >= least).select("piece").collect())
 
 
 def encode(bpe, lexicon: Lexicon | None, texts: list[str], memo: int) -> list[bytes]:
@@ -158,7 +174,7 @@ def encode(bpe, lexicon: Lexicon | None, texts: list[str], memo: int) -> list[by
     runs, plan = [], []  # stretches between special tokens, and for each text its stretches and special ids
     for text in texts:
         own: list[int | bytes] = []
-        for part in bpe.split.split(text) if "<|" in text else [text]:
+        for part in bpe.split.split(text):
             if part in bpe.special:
                 own.append(bpe.special[part].to_bytes(4, "little"))
             else:

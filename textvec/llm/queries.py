@@ -77,16 +77,17 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two deliveries of the load of all documents, of which the second changes nothing."""
+    """A load of all documents, delivered twice, of which the second changes nothing; then all documents are deleted and
+    inserted again, in one batch that deletes and one that revises nothing into them."""
     import uuid
 
-    from textvec.llm.shared import scratch
-    from textvec.llm.token_ledger import Ledger, count_tokens
+    from textvec.llm.shared import scratch, stash
+    from textvec.llm.token_ledger import Ledger, count_tokens, negated
 
     ledger = Ledger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex}")
-    load = count_tokens(_read(spark, sf_dir, "documents"), {"word-bpe-49k": tokenizer_json("word_bpe_49k.json")})
-    for _ in range(2):
-        ledger.commit("load", load)
+    load = stash(count_tokens(_read(spark, sf_dir, "documents"), {"word-bpe-49k": tokenizer_json("word_bpe_49k.json")}), "counts")
+    for name, change in (("load", load), ("load", load), ("delete", negated(load)), ("restore", load)):
+        ledger.commit(name, change)
     return ledger.totals()
 
 
