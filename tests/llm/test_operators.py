@@ -241,6 +241,35 @@ def test_html_articles_use_wrapper(spark):
     assert found == {0: "a\n\ntext a", 1: "News\n\ntext News", 2: "c\n\ntext c", 9: whole.format("d"), 10: whole.format("e"), 11: whole.format("e")}
 
 
+def test_html_names_of_boxes():
+    from textvec.llm.html_wrapper import main_text
+
+    assert main_text('<div class="page has-sidebar"><article><p>Story</p></article></div>') == "Story"
+    assert main_text('<div><p>The story</p></div><article class="comment"><p>hi</p></article>') == "The story"
+    assert main_text('<main><div class="share-price-analysis"><p>Shares rose</p></div><p>B</p><div class="site-header cookie-bar">x</div></main>') == "Shares rose\n\nB"
+
+
+def test_html_unclosed_quotes_are_linear():
+    import time
+
+    from textvec.llm.html_wrapper import blocks, main_text
+
+    began = time.process_time()
+    for part in ('<a "', "<a '", "<a <", "<p", "<div>", "</p>", "<i><p>"):
+        blocks(part * (200_000 // len(part)))
+    assert time.process_time() - began < 30
+    assert main_text('<p title="a > b">x</p><p title=\'y>z</p>') == "x\n\nz"
+
+
+def test_html_odd_tables(spark):
+    from textvec.llm.html_wrapper import html_extract
+
+    page = "<body><div>Same</div><p>own {0}</p></body>"
+    rows = [(1, "h/1", page.format(1), "a"), (1, "h/1", page.format(1), "b"), (None, None, None, None), (2, "h/2", page.format(2), "c"), (3, "long/", "<p>" + "word " * 200_000 + "</p>", "d")]
+    out = html_extract(spark.createDataFrame(rows, "page_id long, url string, html string, fixed string"))
+    assert sorted((r.page_id or 0, r.n_chars) for r in out.collect()) == [(0, 0), (1, 5), (1, 5), (2, 5), (3, 999_999)]
+
+
 def test_html_large_pages(spark):
     from textvec.llm.html_wrapper import MOST, fold, blocks, html_extract, main_text, size
 

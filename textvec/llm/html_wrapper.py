@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textvec.llm.shared import stash
+
 MOST = 1500
 #: Up to so many cells of a table, runs of nodes are aligned by their longest common run, else between nodes that each has once.
 TABLE = 1_000_000
@@ -33,7 +35,11 @@ TABLE = 1_000_000
 INSIDE = "\x01"
 #: A host's pages meet its wrapper in so many parts, so that a large host is no single task.
 SALTS = 32
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Letters of all hosts' template texts that are broadcast; more meet the pages by a salted shuffle.
+BROADCAST = 1 << 22
+#: A mark that ends without a look at quotes; other tags are scanned by `_tag_end`.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*>)?|([^<]+|<)", re.S)
+_TAG_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Names of elements and boxes.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -45,21 +51,52 @@ BOX = frozenset(
     "cookie cookies consent gdpr notice notices notification alert warning popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended "
     "comment comments reply replies respond discussion disqus reader pagination pager toolbar widget complementary contentinfo search".split()
 )
+#: Words that say where a box is or what it is made of.
+PLACE = frozenset(
+    "site page main global top bottom left right upper lower center inner outer primary secondary tertiary mobile desktop sticky fixed float floating small large big full wide mini "
+    "box bar area wrap wrapper container section block list item items row col column panel slot unit body content text title heading link links button buttons form field icon icons logo image img "
+    "tag tags post posts article articles story stories blog user users reader readers author entry entries thread view js and for the of region landmark group holder inline leaderboard".split()
+)
 _RAW_END = {x: re.compile(rf"</{x}\b[^>]*>?|\Z", re.I) for x in RAW}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _boxed(attrs: str) -> bool:
-    """Whether the attributes name a box that is no part of an article."""
+    """Whether the attributes name a box that is no part of an article: a name all of whose words are of `BOX` or `PLACE`,
+    at least one of them of `BOX`. So ``site-header`` is one, ``has-sidebar`` and ``share-price-analysis`` are not."""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role") and any(w.lower() in BOX for w in _WORDS.findall(value)):
-            return True
+        if name in ("class", "id", "role"):
+            for one in value.split():
+                parts = {w.lower() for w in _WORDS.findall(one)}
+                if parts & BOX and parts <= BOX | PLACE:
+                    return True
     return bool(re.search(r"\shidden(?=\s|/|$)", attrs))
 
 
+class _Tags:
+    """Ends of tags in a page. A scan that respects quotes runs to the end of the page once at most."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 if none does."""
+        if at > self.last:
+            return -1
+        to = at
+        while self.quotes:
+            m = _TAG_STOP.search(self.page, to)
+            if m and m[0] == ">":
+                return m.start()
+            to = self.page.find(m[0], m.end()) + 1 if m else 0
+            if not to:
+                self.quotes = False
+        return self.page.find(">", at)
+
+
 def _mark(text: str, inside: bool) -> str:
     return INSIDE + text if inside else text
 
@@ -72,6 +109,13 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
     stream: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, in an article
     held: list[str] = []
+    opened: Counter[str] = Counter()  # names in the stack
+    tags = _Tags(page)
+
+    def close(down_to: int) -> None:
+        for name, _, _ in stack[down_to:]:
+            opened[name] -= 1
+        del stack[down_to:]
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(held)).split())
@@ -94,38 +138,43 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool]], list[str]]:
             continue
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, attrs = m[2].lower(), (m[3] or "")[:-1]
+        if m[3] is None:
+            to = tags.end(at)
+            if to < 0:  # no tag, but text
+                held.append(m[0])
+                continue
+            attrs, at = page[at:to], to + 1
         if tag == "br":
             held.append(" ")
         elif m[1]:
             if tag in BLOCK:
                 flush()
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if opened[tag]:
+                close(max(k for k in range(len(stack)) if stack[k][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
                 if tag in BLOCK:
                     stream.append(">" + tag)
         else:
             if tag in BLOCK:
                 flush()
-                if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end an open one of their kind
+                if opened[tag] and tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end an open one of their kind
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
-                            del stack[k:]
+                            close(k)
                             break
                         if stack[k][0] in ("div", "ul", "ol", "dl", "table", "article", "section", "main", "body", "blockquote", "aside", "nav", "form", "td", "th"):
                             break
                 stream.append("<" + tag)
-            if tag in VOID or m[3].endswith("/"):
+            if tag in VOID or attrs.endswith("/"):
                 continue
             if tag in RAW:
                 at = _RAW_END[tag].search(page, at).end()
                 continue
             _, skip, inside = stack[-1] if stack else ("", False, False)
             opens = tag in ("article", "main")
-            skip = skip or tag in SKIP or (not opens and tag not in ("html", "body") and _boxed(m[3])) or (opens and inside and _boxed(m[3]))
+            skip = skip or tag in SKIP or (tag not in ("html", "body") and _boxed(attrs))
             stack.append((tag, skip, inside or (opens and not skip)))
+            opened[tag] += 1
     flush()
     return out, stream
 
@@ -368,8 +417,12 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     ignored."""
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.regexp_replace(F.lower(F.trim(F.coalesce("url", F.lit("")))), r"(?s)^[a-z][a-z0-9+.-]*://|[/?#].*$", "")
-    known = wrappers(slim).mapInArrow(_fixed, "__host string, fixed array<string>")
-    known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
-    joined = slim.join(known, (host == F.col("__host")) & (salt == F.col("__salt")), "left")
+    known = stash(wrappers(slim).mapInArrow(_fixed, "__host string, fixed array<string>"), "fixed")
+    letters = known.agg(F.sum(F.aggregate("fixed", F.length("__host"), lambda n, x: n + F.length(x)))).first()[0] or 0
+    if letters <= BROADCAST:
+        joined = slim.join(F.broadcast(known), host == F.col("__host"), "left")
+    else:
+        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+        joined = slim.join(known, (host == F.col("__host")) & (salt == F.col("__salt")), "left")
     return joined.select("page_id", "url", "html", "fixed").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
