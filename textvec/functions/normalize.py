@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,28 +73,54 @@ def words(normalized: str) -> list[str]:
     return out
 
 
-# ---- Columns, for texts whose letters have a single plain form (all but a few scripts such as Hangul) ----------
+# ---- Columns --------------------------------------------------------------------------------------------------
 
 _DROPPED = r"[\x00\x{FFFD}]|[\p{Cc}\p{Cf}\p{Co}&&[^\t\n\r]]"
 _SPACES = r"[\p{Zs}\x{2028}\x{2029}\t\n\r]"
 _IDEOGRAPHS = "([" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK) + "])"
 _PUNCTUATION = r"([!-/:-@\[-`{-~\p{P}])"
+#: Hangul syllables, and the letters into which they come apart, as first, middle and last ones.
+HANGUL, _FIRST, _MIDDLE, _LAST = (0xAC00, 0xD7A3), (0x1100, 19), (0x1161, 21), (0x11A7, 28)
 
 
 def clean_column(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _DROPPED, ""), _SPACES, " ")
 
 
-def letter_map(last: int = 0x24F) -> tuple[str, str]:
-    """Letters up to ``last`` and their lower-case plain forms, for ``translate``."""
-    table = _Table(True, True, False)
-    pairs = [(chr(c), table[c]) for c in range(0x41, last + 1) if len(table[c]) == 1 and table[c] not in (_SPACE, chr(c))]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+@lru_cache(maxsize=1)
+def letter_map() -> tuple[dict[str, str], dict[str, str]]:
+    """Of all code points but ideographs and Hangul: what becomes one letter or nothing, and what becomes several."""
+    table, one, many = _Table(True, True, False), {}, {}
+    for cp in range(0x110000):
+        c = chr(cp)
+        kind = unicodedata.category(c)
+        if kind in ("Cc", "Cf", "Cn", "Co", "Cs", "Zs", "Zl", "Zp") or HANGUL[0] <= cp <= HANGUL[1]:
+            continue
+        if kind != "Mn" and c.lower() == c and not unicodedata.decomposition(c):
+            continue
+        out = table[cp]
+        if out != c:
+            (one if len(out) < 2 else many)[c] = out
+    return one, many
+
+
+def _apart(c: Column, many: dict[str, str]) -> Column:
+    """A letter that becomes several ones."""
+    n = F.ascii(c) - HANGUL[0]
+    letters = lambda first, size: F.array(*(F.lit(chr(first + i) if first + i != _LAST[0] else "") for i in range(size)))
+    syllable = F.concat(F.get(letters(*_FIRST), F.floor(n / 588).cast("int")), F.get(letters(*_MIDDLE), F.floor(n % 588 / 28).cast("int")), F.get(letters(*_LAST), (n % 28).cast("int")))
+    others = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
+    return F.when(c.between(chr(HANGUL[0]), chr(HANGUL[1])), syllable).otherwise(F.coalesce(F.try_element_at(others, c), c))
 
 
 def normalize_column(text: Column) -> Column:
+    """As `normalize` with its defaults, but for code points that only one of the two Unicode versions knows."""
+    one, many = letter_map()
     spaced = F.regexp_replace(clean_column(text), _IDEOGRAPHS, " $1 ")
-    return F.translate(F.regexp_replace(spaced, r"\p{Mn}", ""), *letter_map())
+    rare = "[" + chr(HANGUL[0]) + "-" + chr(HANGUL[1]) + "".join(many) + "]"
+    whole = F.when(spaced.rlike(rare), F.array_join(F.transform(F.split(spaced, ""), lambda c: _apart(c, many)), "")).otherwise(spaced)
+    kept = {a: b for a, b in one.items() if b}
+    return F.translate(whole, "".join([*kept, *(a for a in one if a not in kept)]), "".join(kept.values()))
 
 
 def words_column(normalized: Column) -> Column:

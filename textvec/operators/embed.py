@@ -67,6 +67,24 @@ class Tokenizer:
         return out
 
 
+_TOKENIZERS: dict[int, tuple[Model, Tokenizer]] = {}
+
+
+def tokenizer_of(model: Model) -> Tokenizer:
+    """The tokenizer of a model, with its memo, for the life of the Python process."""
+    if id(model) not in _TOKENIZERS:
+        if len(_TOKENIZERS) > 8:
+            _TOKENIZERS.clear()
+        _TOKENIZERS[id(model)] = model, Tokenizer(model)
+    return _TOKENIZERS[id(model)][1]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its files are too few to keep them busy; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def capped(ids: list[int], limit: int, unk_id: int, usable: bool) -> tuple[list[int], bool]:
     """The ids that count, and whether some were cut: the first ``limit``, or up to the ``limit``-th that is known."""
     if not limit:
@@ -129,7 +147,7 @@ class Kernel:
 
         @F.pandas_udf("array<int>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            own = Tokenizer(shared.value)
+            own = tokenizer_of(shared.value)
             for part in parts:
                 yield part.map(lambda t: None if t is None else own.ids(t, limit or None)[: limit or None])
 
@@ -162,7 +180,7 @@ class Kernel:
         @F.pandas_udf(f"struct<vec: array<{kind}>, {STATS.replace(' ', ': ').replace(',: ', ', ')}>")
         def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             model = shared.value
-            own, m = Tokenizer(model), model.meta
+            own, m = tokenizer_of(model), model.meta
             usable = m.truncation == "usable_ids" and m.unk_policy == "drop"
             for part in parts:
                 rows = []

@@ -18,8 +18,12 @@ def check_references(qrels: DataFrame, documents: DataFrame, doc_col: str = "doc
         raise InvalidSource(f"unknown document {bad[0].doc_id!r}")
 
 
-def query_metrics(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """query_id, rr, rr_at_k, ndcg_at_k, recall_at_k, hit_at_k; queries without a ranking count as zero."""
+def query_metrics(ranking: DataFrame, qrels: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, rr, rr_at_k, ndcg_at_k, recall_at_k, hit_at_k; queries without a ranking count as zero, and so do those of
+    ``queries`` (query_id) without a judgement."""
+    if queries is not None:
+        none = queries.select("query_id").distinct().join(qrels.select("query_id").distinct(), "query_id", "left_anti")
+        return query_metrics(ranking, qrels, k).unionByName(none.select("query_id", *(F.lit(0.0).alias(m) for m in METRICS)))
     relevant = qrels.select("query_id", "doc_id").distinct()
     hits = relevant.join(ranking.select("query_id", F.col("row_id").alias("doc_id"), "rank"), ["query_id", "doc_id"], "left")
     shown = ranking.where(F.col("rank") <= k).groupBy("query_id").agg(F.count(F.lit(1)).alias("shown"))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textvec.functions import codec
-from textvec.functions.normalize import clean_column, letter_map, normalize_column, words_column
+from textvec.functions.normalize import clean_column, normalize_column, words_column
 from textvec.model import SPECIAL, body, demo, is_continuation
 from textvec.operators import evaluate, search
-from textvec.operators.embed import Kernel, embed_relational
+from textvec.operators.embed import Kernel, embed_relational, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +32,10 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(_read(spark, d, "documents"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label")
 
@@ -205,25 +209,24 @@ def fnv1a_hash(spark, d):
 
 # ---- tokenize ---------------------------------------------------------------------------------------------------
 
-_FROM, _TO = letter_map()
-_NORMAL = f"translate(text, '{_FROM}', '{_TO}')"
+_NORMAL = "lower(strip_accents(text))"
 _CLEAN = r"regexp_replace(regexp_replace({x}, '[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{7F}-\x{9F}\x{AD}\x{FFFD}]', '', 'g'), '[\t\n\r\x{A0}]', ' ', 'g')"
 _WORDS = r"[w for w in string_split(regexp_replace(" + _CLEAN.replace("{x}", _NORMAL) + r", '([!-/:-@\[-`{-~]|\p{P})', ' \1 ', 'g'), ' ') if w <> '']"
 
 
 @query("select doc_id, length(" + _CLEAN.replace("{x}", "text") + ")::int as n from documents")
 def clean_text(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.char_length(clean_column(F.col("text"))).alias("n"))
+    return _texts(spark, d).select("doc_id", F.char_length(clean_column(F.col("text"))).alias("n"))
 
 
 @query("select doc_id, md5(" + _CLEAN.replace("{x}", _NORMAL) + ") as digest from documents")
 def normalize_text(spark, d):
-    return _read(spark, d, "documents").select("doc_id", F.md5(normalize_column(F.col("text"))).alias("digest"))
+    return _texts(spark, d).select("doc_id", F.md5(normalize_column(F.col("text"))).alias("digest"))
 
 
 @query(f"with w as (select doc_id, {_WORDS} as w from documents) select doc_id, len(w)::int as words, len(list_distinct(w))::int as distinct_words from w")
 def pre_tokenize_counts(spark, d):
-    w = _read(spark, d, "documents").select("doc_id", words_column(normalize_column(F.col("text"))).alias("w"))
+    w = _texts(spark, d).select("doc_id", words_column(normalize_column(F.col("text"))).alias("w"))
     return w.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("distinct_words"))
 
 
@@ -245,7 +248,7 @@ toks as (select doc_id, row_number() over (partition by doc_id order by i, k) as
 
 
 def _stats(spark: SparkSession, d: str, **meta) -> DataFrame:
-    rows = _read(spark, d, "documents").select("doc_id", Kernel(spark, demo().with_meta(**meta)).embed_with_stats("text").alias("s"))
+    rows = _texts(spark, d).select("doc_id", Kernel(spark, demo().with_meta(**meta)).embed_with_stats("text").alias("s"))
     return rows.select("doc_id", "s.token_count", "s.unk_count", "s.pooled_count", "s.truncated")
 
 
@@ -270,31 +273,31 @@ def token_stats_usable_ids(spark, d):
 
 @query(f"with {_PIECES} select doc_id, md5(string_agg(id::varchar, ',' order by pos)) as digest, count(*) as n from toks group by doc_id")
 def tokenize_ids(spark, d):
-    ids = _read(spark, d, "documents").select("doc_id", Kernel(spark, demo().with_meta(max_tokens=0)).tokenize("text").alias("ids")).where(F.size("ids") > 0)
+    ids = _texts(spark, d).select("doc_id", Kernel(spark, demo().with_meta(max_tokens=0)).tokenize("text").alias("ids")).where(F.size("ids") > 0)
     return ids.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"), F.size("ids").cast("long").alias("n"))
 
 
 @query(f"with {_PIECES} select doc_id, md5(string_agg(id::varchar, ',' order by pos)) as digest, count(*) as n from toks where pos <= 64 group by doc_id")
 def tokenize_capped(spark, d):
-    ids = _read(spark, d, "documents").select("doc_id", Kernel(spark, demo()).tokenize("text", 64).alias("ids")).where(F.size("ids") > 0)
+    ids = _texts(spark, d).select("doc_id", Kernel(spark, demo()).tokenize("text", 64).alias("ids")).where(F.size("ids") > 0)
     return ids.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"), F.size("ids").cast("long").alias("n"))
 
 
 @query(f"with {_PIECES} select id as token_id, count(*) as n from toks group by id")
 def token_histogram(spark, d):
-    ids = _read(spark, d, "documents").select(F.explode(Kernel(spark, demo().with_meta(max_tokens=0)).tokenize("text")).alias("token_id"))
+    ids = _texts(spark, d).select(F.explode(Kernel(spark, demo().with_meta(max_tokens=0)).tokenize("text")).alias("token_id"))
     return ids.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_PIECES} select lang, round(count(*) filter (where id = 1) / count(*), 6) as unk_ratio from toks join documents using (doc_id) group by lang")
 def unk_ratio_by_lang(spark, d):
-    s = _read(spark, d, "documents").select("lang", Kernel(spark, demo().with_meta(max_tokens=0)).embed_with_stats("text").alias("s"))
+    s = _texts(spark, d).select("lang", Kernel(spark, demo().with_meta(max_tokens=0)).embed_with_stats("text").alias("s"))
     return s.groupBy("lang").agg(F.round(F.sum("s.unk_count") / F.sum("s.token_count"), 6).alias("unk_ratio"))
 
 
 @query(f"with {_PIECES}, n as (select doc_id, count(*) as n from toks group by doc_id), w as (select doc_id, len([x for x in string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') if x <> '']) as w from documents) select lang, round(sum(n.n) / sum(w.w), 6) as pieces from documents join n using (doc_id) join w using (doc_id) group by lang")
 def pieces_per_word(spark, d):
-    docs = _read(spark, d, "documents").select("lang", Kernel(spark, demo().with_meta(max_tokens=0)).embed_with_stats("text").alias("s"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("w"))
+    docs = _texts(spark, d).select("lang", Kernel(spark, demo().with_meta(max_tokens=0)).embed_with_stats("text").alias("s"), F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("w"))
     return docs.groupBy("lang").agg(F.round(F.sum("s.token_count") / F.sum("w"), 6).alias("pieces"))
 
 
@@ -312,25 +315,25 @@ def _embed_sql(kept: str, scale: str) -> str:
 
 @query(_embed_sql("t.pos <= 512 and t.id <> 1", "s / nullif(l2, 0)"))
 def embed_documents(spark, d):
-    return _cells(_read(spark, d, "documents").select("doc_id", Kernel(spark, demo()).embed("text", kind="double").alias("vec")))
+    return _cells(_texts(spark, d).select("doc_id", Kernel(spark, demo()).embed("text", kind="double").alias("vec")))
 
 
 @query(_embed_sql("true", "s / n"))
 def embed_include_unk(spark, d):
     kernel = Kernel(spark, demo().with_meta(max_tokens=0, unk_policy="include", normalization="none"))
-    return _cells(_read(spark, d, "documents").select("doc_id", kernel.embed("text", kind="double").alias("vec")))
+    return _cells(_texts(spark, d).select("doc_id", kernel.embed("text", kind="double").alias("vec")))
 
 
 @query(_embed_sql("t.pos <= 512 and t.id <> 1", "s / n"))
 def embed_no_l2(spark, d):
-    return _cells(_read(spark, d, "documents").select("doc_id", Kernel(spark, demo().with_meta(normalization="none")).embed("text", kind="double").alias("vec")))
+    return _cells(_texts(spark, d).select("doc_id", Kernel(spark, demo().with_meta(normalization="none")).embed("text", kind="double").alias("vec")))
 
 
 @query(_embed_sql("t.pos <= 512 and t.id <> 1", "s / nullif(l2, 0)").replace("from g left join z", "from g join z"))
 def embed_token_ids(spark, d):
     """From ids, by joins and aggregations alone."""
     model = demo()
-    ids = _read(spark, d, "documents").select("doc_id", F.posexplode(Kernel(spark, model.with_meta(max_tokens=0)).tokenize("text")).alias("pos", "token_id"))
+    ids = _texts(spark, d).select("doc_id", F.posexplode(Kernel(spark, model.with_meta(max_tokens=0)).tokenize("text")).alias("pos", "token_id"))
     return _cells(embed_relational(ids, model.matrix_frame(spark), model))
 
 
