@@ -56,10 +56,12 @@ _ASCII_WORDS = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+|[!-/:-@\[-`{-~]")
 
 def words(normalized: str) -> list[str]:
     """The words of a normalized text: split at spaces, every punctuation character alone."""
+    if normalized.isascii():
+        return _ASCII_WORDS.findall(normalized)
     out: list[str] = []
-    for word in _ASCII_WORDS.findall(normalized) if normalized.isascii() else normalized.split(" "):
+    for word in normalized.split(" "):
         at = 0
-        if word.isascii() and word.isalnum():
+        if word.isalnum():
             out.append(word)
             continue
         for i, c in enumerate(word):

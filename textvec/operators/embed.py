@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,19 @@ STATS = "token_count bigint, unk_count bigint, pooled_count bigint, truncated bo
 _MEMO = 500_000
 
 
+class _Memo(dict):
+    """Pieces of words, found when first asked for; emptied when it is full."""
+
+    def __init__(self, find: Callable[[str], list[int]]):
+        self.find = find
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > _MEMO:
+            self.clear()
+        self[word] = out = self.find(word)
+        return out
+
+
 class Tokenizer:
     """Greedy longest-match WordPiece with a bounded memo of words."""
 
@@ -29,15 +43,7 @@ class Tokenizer:
         self.longest = max(len(body(t)) for t in model.tokens)
         self.added = {t: model.tokens.index(t) for t in m.added_tokens}
         self.split = re.compile("(" + "|".join(map(re.escape, m.added_tokens)) + ")") if m.added_tokens else None
-        self.memo: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        found = self.memo.get(word)
-        if found is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            found = self.memo[word] = self._pieces(word)
-        return found
+        self.memo = _Memo(self._pieces)
 
     def _pieces(self, word: str) -> list[int]:
         if len(word) > self.meta.max_input_chars_per_word:
@@ -60,8 +66,12 @@ class Tokenizer:
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for word in words(normalize(part, m.lowercase, m.strip_accents, m.handle_chinese_chars)):
-                out += self.word(word)
+            found = words(normalize(part, m.lowercase, m.strip_accents, m.handle_chinese_chars))
+            if enough is None:
+                out.extend(chain.from_iterable(map(self.memo.__getitem__, found)))
+                continue
+            for word in found:
+                out += self.memo[word]
                 if enough is not None and len(out) > enough:
                     return out
         return out
@@ -191,7 +201,7 @@ class Kernel:
                     ids = [int(i) for i in x] if from_ids else own.ids(x, limit if limit and not usable else None)
                     ids, cut = capped(ids, limit, m.unk_id, usable)
                     vec, used = pool(model, ids)
-                    rows.append((vec.tolist(), len(ids), sum(i == m.unk_id for i in ids), used, cut))
+                    rows.append((vec.tolist(), len(ids), ids.count(m.unk_id), used, cut))
                 yield pd.DataFrame(rows, columns=["vec", "token_count", "unk_count", "pooled_count", "truncated"]).astype({"token_count": "Int64", "unk_count": "Int64", "pooled_count": "Int64", "truncated": "boolean"})
 
         return run

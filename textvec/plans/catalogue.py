@@ -12,6 +12,7 @@ from textvec.functions.normalize import clean_column, normalize_column, words_co
 from textvec.model import SPECIAL, body, demo, is_continuation
 from textvec.operators import evaluate, search
 from textvec.operators.embed import Kernel, embed_relational, spread
+from textvec.operators.ranges import coalesce_ranges
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,10 +79,10 @@ def cosine_topk_filtered(spark, d):
 _BATCH = ", r as (select *, row_number() over (partition by query_id order by score desc, row_id)::int as rank from s) select query_id, rank, row_id, round(score, 5) + 0.0 as score from r where rank <= {k}"
 
 
-@query(_PAIR.format(where="vec_id < 20", score=_C) + _BATCH.format(k=5))
+@query(_PAIR.format(where="vec_id % 100 = 0", score=_C) + _BATCH.format(k=5))
 def cosine_topk_batched(spark, d):
     rows = _vectors(spark, d)
-    found = search.top_k_batched(rows, rows.where("row_id < 20").withColumnRenamed("row_id", "query_id"), 5)
+    found = search.top_k_batched(rows, rows.where("row_id % 100 = 0").withColumnRenamed("row_id", "query_id"), 5)
     return found.select("query_id", "rank", "row_id", _r())
 
 
@@ -346,18 +347,18 @@ def embed_empty_zero(spark, d):
 # ---- evaluation -------------------------------------------------------------------------------------------------
 
 
-def _relevance(spark: SparkSession, d: str, which: str = "row_id < 20") -> tuple[DataFrame, DataFrame]:
-    """Full rankings of labels' centroids by the vectors asked for, and each vector's own label as relevant."""
+def _relevance(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Full rankings of labels' centroids by all vectors that have an id, and each vector's own label as relevant."""
     v = _vectors(spark, d)
     cells = v.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     docs = cells.groupBy(F.col("label").alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c.x).alias("vec"))
-    asked = v.where(which)
+    asked = v.where("row_id is not null")
     ranking = search.top_k_batched(docs, asked.withColumnRenamed("row_id", "query_id"), None)
     return ranking, asked.select(F.col("row_id").alias("query_id"), F.col("label").alias("doc_id"))
 
 
 _RANKING = f"""c as (select label, i, avg(x::double) as x from (select label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings) group by label, i),
-docs as (select label as row_id, list(x order by i) as v from c group by label), q as (select vec_id as query_id, embedding as e, label from embeddings where vec_id < 20),
+docs as (select label as row_id, list(x order by i) as v from c group by label), q as (select vec_id as query_id, embedding as e, label from embeddings),
 sc as (select query_id, row_id, q.label, {_DOT.format(a='q.e', b='docs.v')} / sqrt({_SQ.format(a='q.e')}) / sqrt({_SQ.format(a='docs.v')}) as score from q, docs),
 ranking as (select *, row_number() over (partition by query_id order by score desc, row_id)::int as rank from sc)"""
 
@@ -376,17 +377,20 @@ def retrieval_metrics(spark, d):
     return evaluate.mean_metrics(evaluate.query_metrics(ranking, qrels, 3)).select("metric", F.round("value", 6).alias("value"))
 
 
-@query("with n as (select count(distinct label) as n from embeddings) select vec_id as query_id, round((select sum(1.0::double / i) from range(1, 1000) r(i) where i <= n) / n, 6) as expected_rr from embeddings, n where vec_id < 20")
+@query(
+    "with n as (select count(distinct label) as n from embeddings), e as (select n, least(n, 3) as k, (select sum(1.0::double / i) from range(1, 100000) r(i) where i <= n) / n as rr, (select sum(1.0::double / i) from range(1, 4) r(i) where i <= n) / n as rr_at_k, "
+    "(select sum(1 / log2(i + 1)) from range(1, 4) r(i) where i <= n) / n as ndcg_at_k from n) select vec_id as query_id, round(rr, 6) as rr, round(rr_at_k, 6) as rr_at_k, round(ndcg_at_k, 6) as ndcg_at_k, round(k / n, 6) as recall_at_k, round(k / n, 6) as hit_at_k from embeddings, e"
+)
 def random_baseline(spark, d):
-    ranking, qrels = _relevance(spark, d)
+    qrels = _relevance(spark, d)[1]
     docs = _vectors(spark, d).select("label").distinct().count()
-    return evaluate.random_baseline(qrels, docs).select("query_id", F.round("expected_rr", 6).alias("expected_rr"))
+    return evaluate.random_baseline(qrels, docs, 3).select("query_id", *(F.round(m, 6).alias(m) for m in evaluate.METRICS))
 
 
 @query()
 def bootstrap_ci(spark, d):
     """Over all vectors that have an id."""
-    ranking, qrels = _relevance(spark, d, "row_id is not null")
+    ranking, qrels = _relevance(spark, d)
     return evaluate.bootstrap(evaluate.query_metrics(ranking, qrels, 3), 200)
 
 
@@ -397,13 +401,13 @@ def unknown_references(spark, d):
 
 
 @query(
-    _PAIR.format(where="vec_id < 20", score=_C)
+    _PAIR.format(where="vec_id % 100 = 0", score=_C)
     + f", a as (select query_id, row_id, row_number() over (partition by query_id order by score desc, row_id) as rank from s), t as (select query_id, vec_id as row_id, {_D} - vec_id % 7 as score from q, embeddings), b as (select query_id, row_id, row_number() over (partition by query_id order by score desc, row_id) as rank from t), "
     "f as (select query_id, row_id, sum(1.0::double / (60 + rank)) as score from (select * from a where rank <= 50 union all select * from b where rank <= 50) group by query_id, row_id), r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, row_id)::int as rank from f) select query_id, rank, row_id, round(score, 6) as score from r where rank <= 10"
 )
 def hybrid_rrf(spark, d):
     rows = _vectors(spark, d)
-    asked = rows.where("row_id < 20").withColumnRenamed("row_id", "query_id")
+    asked = rows.where("row_id % 100 = 0").withColumnRenamed("row_id", "query_id")
     dense = search.top_k_batched(rows, asked, 50)
     other = search.top_k_batched(rows.withColumn("vec", F.concat("vec", F.array(-(F.col("row_id") % 7).cast("float")))), asked.withColumn("vec", F.concat("vec", F.array(F.lit(1.0).cast("float")))), 50, "dot")
     return search.reciprocal_rank_fusion([dense, other], 10).select("query_id", "rank", "row_id", F.round("score", 6).alias("score"))
@@ -445,9 +449,4 @@ def section_overlap(spark, d):
 
 @query("with p as (select distinct doc_id from labels), g as (select doc_id, doc_id - row_number() over (order by doc_id) as island from p) select min(doc_id) as lo, max(doc_id) as hi from g group by island")
 def range_coalesce(spark, d):
-    """Runs of consecutive numbers: a number without its predecessor begins one, one without its successor ends it."""
-    p = _read(spark, d, "labels").select("doc_id").distinct()
-    begin = p.join(p.select((F.col("doc_id") + 1).alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("end"))
-    end = p.join(p.select((F.col("doc_id") - 1).alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(1).alias("end"))
-    ranked = begin.unionByName(end).withColumn("n", F.row_number().over(Window.partitionBy("end").orderBy("doc_id")))
-    return ranked.groupBy("n").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).select("lo", "hi")
+    return coalesce_ranges(_read(spark, d, "labels"), "doc_id")
