@@ -75,15 +75,23 @@ class Scanner:
         return [x for x in ((2 * n / (len(own) + len(self.sets[name])), name) for name, n in shared.items()) if x[0] >= self.threshold]
 
     def window(self, name: str, pairs: list[tuple[str, str]], hits: list[int]) -> tuple[float, int] | None:
-        """Dice and first pair of the run of pairs most like a template, ties to the first. It begins and ends with a pair of the template."""
+        """Dice and first pair of the run of pairs most like a template, ties to the first. It begins and ends with a pair of the template.
+
+        A run that meets its first pair again has the same pairs without that first one, so runs end before it: all runs
+        together are no longer than the text times the size of the template."""
         own, best = self.sets[name], None
+        again, later = [0] * len(hits), dict[tuple[str, str], int]()
+        for k in range(len(hits) - 1, -1, -1):
+            again[k] = later.get(pairs[hits[k]], len(pairs))
+            later[pairs[hits[k]]] = hits[k]
         need, most = self.threshold * len(own) / (2 - self.threshold), len(own) * (2 - self.threshold) / self.threshold
         for k, start in enumerate(hits):
             if len(hits) - k < need - 1e-9:
                 break
             seen: set[tuple[str, str]] = set()
             shared = 0
-            for x in pairs[start:]:
+            for i in range(start, again[k]):
+                x = pairs[i]
                 if x in seen:
                     continue
                 seen.add(x)
