@@ -140,13 +140,47 @@ def test_topk(spark):
     got = defaultdict(list)
     for r in exact_topk(df, df.where("vec_id % 100 = 0"), 10, shard_rows=200).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    fine = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows[:700]}
+    fine = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows[:700]} | {704: np.zeros(5, int)}
     for i in range(0, 700, 100):
         best = sorted(((-int(fine[i] @ v), j) for j, v in fine.items() if j != i))[:10]
         assert got[i] == [(j, -s) for s, j in best]
     assert exact_topk(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_repeats_and_clashing_columns(spark):
+    from textvec.llm.block_topk import exact_topk
+
+    rng = np.random.default_rng(4)
+    rows = [(i % 90, [float(x) for x in rng.integers(-1, 2, 3)], "a", "b", "c", "d") for i in range(300)] + [(None, [1.0], "", "", "", "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, shard string, part string, score string, rank string").repartition(5)
+    for size in (40, 32768):
+        got = defaultdict(list)
+        for r in exact_topk(df, df.where("vec_id % 10 = 0"), 12, shard_rows=size, query_rows=size).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+        assert set(got) == set(range(0, 90, 10))
+        for i in got:
+            own = 1024 * np.array(min(r[1] for r in rows if r[0] == i))
+            best = sorted((-int(1024 * np.array(r[1]) @ own), r[0]) for r in rows if r[0] not in (i, None))[:12]
+            assert got[i] == [(j, -s) for s, j in best]
+
+
+def test_nearest_in_several_shards(spark):
+    """Recall on the given vectors, in four full shards."""
+    from textvec.llm.graph_ann import nearest
+
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    got = defaultdict(set)
+    for r in nearest(df, df.where("vec_id % 20 = 0"), 20, shard_rows=500).collect():
+        got[r.query_id].add(r.vec_id)
+    scores = x[ids % 20 == 0] @ x.T
+    asked = ids[ids % 20 == 0]
+    scores[asked[:, None] == ids] = -np.inf
+    hit = sum(len(got[i] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) for i, s in zip(asked.tolist(), scores))
+    assert hit / (20 * len(asked)) >= 0.9
+
+
 def test_nearest(spark):
     from textvec.llm.graph_ann import nearest
 
@@ -308,6 +342,31 @@ def test_license_windows(spark):
     assert found == {(0, n) for n in (*FULL, "MPL-2.0", "MIT-notice")}
 
 
+def test_license_windows_by_brute_force():
+    from textvec.llm.license_scan import Scanner, bigrams
+
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        template = " ".join(rng.choice(list("abcdef"), 7))
+        words = rng.choice(list("abcdefxy"), 40).tolist()
+        scanner, own, pairs = Scanner({"t": template}, 0.5), bigrams(template), list(zip(words, words[1:]))
+        want = max(2 * len(set(pairs[i:j]) & own) / (len(set(pairs[i:j])) + len(own)) for i in range(len(pairs)) for j in range(i + 1, len(pairs) + 1))
+        best = scanner.window("t", pairs, [i for i, x in enumerate(pairs) if x in own])
+        assert (best[0] if best else 0) == (want if want >= 0.5 else 0)
+
+
+def test_license_windows_of_long_repetitive_texts():
+    import time
+
+    from textvec.llm.license_scan import TEMPLATES, Scanner
+
+    scanner, near = Scanner(TEMPLATES, 0.8), TEMPLATES["MPL-2.0"].replace("subject", "bound").replace("file", "page")
+    for text in ((near + " ") * 3000, "released under " * 100_000 + TEMPLATES["MIT"], TEMPLATES["GPL-3.0-notice"].replace("free", "own") + " software you can" * 100_000):
+        began = time.time()
+        scanner.scan(text)
+        assert time.time() - began < 10
+
+
 def test_line_dedup(spark, odd):
     from textvec.llm.line_dedup import line_dedup
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textvec.llm.shared import stash
-from textvec.llm.vector_rows import deal, matrix, usable, widen
+from textvec.llm.vector_rows import deal, matrix, once, usable, widen
 
 DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 256
 
@@ -165,10 +165,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     """The ``k`` nearest rows found for each query, its own id left out, by inner product: query_id, rank, vec_id, score.
 
     Null, empty, zero and non-finite vectors, and null ids, take no part; shorter vectors count as if they ended in
-    zeros. Scores are exact. Ties go to smaller ids. Query ids that repeat are asked once, rows of one id and vector
+    zeros. Scores are exact. Ties go to smaller ids. A query id that repeats is asked once, with its smallest vector; rows of one id and vector
     that repeat are ranked as often as they occur. Every row is indexed; other columns are ignored."""
     some = F.exists("v", lambda x: x != 0)
-    rows, asked, parts = deal(usable(vectors, id_col, vector_col).where(some), usable(queries, id_col, vector_col).where(some).dropDuplicates(["vec_id"]), shard_rows, query_rows)
+    rows, asked, parts = deal(usable(vectors, id_col, vector_col).where(some), once(usable(queries, id_col, vector_col).where(some)), shard_rows, query_rows)
     index = rows.groupBy("shard").applyInArrow(_build, "shard int, start long, dim long, ids binary, node binary, points binary, graph binary")
     index = stash(index, "graphs").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = asked.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(_search(k, beam), "query_id long, vec_id long, score double")

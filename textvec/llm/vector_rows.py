@@ -9,15 +9,23 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v) of rows whose vector is not null or empty and holds neither null nor non-finite components."""
+    """(vec_id, v) of rows whose vector is not null and holds neither null nor non-finite components."""
     v = F.col(vector_col).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & (F.size("v") > 0) & fine)
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
 
 
-def deal(rows: DataFrame, queries: DataFrame, shard_rows: int, query_rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Give each row a ``shard``, each query every shard and a query block ``part``; also the number of blocks."""
-    shards = max(1, -(-rows.count() // shard_rows))
+def once(queries: DataFrame) -> DataFrame:
+    """One row for each id, with the smallest vector."""
+    return queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def deal(rows: DataFrame, queries: DataFrame, shard_rows: int, query_rows: int, spread: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """Give each row a ``shard``, each query every shard and a query block ``part``; also the number of blocks.
+
+    With ``spread``, there are as many shards as cores if each has as many rows as that."""
+    n = rows.count()
+    shards = max(1, -(-n // shard_rows), min(rows.sparkSession.sparkContext.defaultParallelism, n // spread) if spread else 0)
     parts = max(1, -(-queries.count() // query_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
@@ -29,7 +37,7 @@ def matrix(table: pa.Table, column: str = "v") -> np.ndarray:
     col = table[column].combine_chunks()
     sizes = np.diff(col.offsets.to_numpy())
     flat = col.flatten().to_numpy(zero_copy_only=False)
-    wide = int(sizes.max(initial=0))
+    wide = int(sizes.max(initial=1))
     if len(sizes) and sizes.min() == wide:
         return flat.reshape(len(sizes), wide).astype(np.float64)
     out = np.zeros((len(sizes), wide))
