@@ -340,6 +340,9 @@ def test_license_windows(spark):
     texts = [filler + "\n" + "\n".join(textwrap.fill(t, 80, break_long_words=False) for t in [*FULL.values(), TEMPLATES["MPL-2.0"]]), filler, None]
     found = {(r.doc_id, r.license) for r in license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert found == {(0, n) for n in (*FULL, "MPL-2.0", "MIT-notice")}
+    for name, text in FULL.items():  # each under its own name, with a word changed and wrapped
+        doc = f"{filler}\n" + textwrap.fill(text.replace(" the ", " our ", 1), 72) + f"\n{filler}"
+        assert Scanner(TEMPLATES | FULL, 0.8).scan(doc)[0] == name
 
 
 def test_license_windows_by_brute_force():

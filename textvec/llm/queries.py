@@ -129,19 +129,19 @@ from documents left join d using (doc_id) group by documents.doc_id
 
 SQL["op2_exact_topk"] = """
 with v as (
-  select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as w from embeddings
-  where embedding is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0
-), q as (select distinct on (vec_id) * from v where vec_id % 100 = 0),
-s as (select q.vec_id as query_id, v.vec_id, list_sum([a[1] * a[2] for a in [[p[1], p[2]] for p in list_zip(q.w, v.w)]])::bigint as score from q join v on q.vec_id <> v.vec_id),
+  select vec_id, embedding, [floor(1024 * x::double)::bigint for x in embedding] as w from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0
+), q as (select vec_id, arg_min(w, embedding) as w from v where vec_id % 100 = 0 group by vec_id),
+s as (select q.vec_id as query_id, v.vec_id, coalesce(list_sum([a[1] * a[2] for a in [[p[1], p[2]] for p in list_zip(q.w, v.w)]])::bigint, 0) as score from q join v on q.vec_id <> v.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
 
 def _license_sql() -> str:
-    from textvec.llm.license_scan import TEMPLATES
+    from textvec.llm.license_scan import FULL, TEMPLATES
 
-    rows = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in TEMPLATES.items())
+    rows = ", ".join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in (TEMPLATES | FULL).items())
     return f"""
 with t(name, text) as (values {rows}),
 u as (
