@@ -11,6 +11,10 @@ from textvec.operators.embed import Tokenizer, capped, pool
 from textvec.sources import container
 
 
+def _limit(text: str) -> int | bool:
+    return False if text in ("unlimited", "0") else int(text)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="textvec")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -18,9 +22,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("source")
     p.add_argument("--out", required=True)
     p.add_argument("--id")
-    p.add_argument("--max-tokens", type=int)
+    p.add_argument("--max-tokens", type=_limit, help="a positive number, or unlimited")
     p.add_argument("--dimensions", type=int)
-    p.add_argument("--truncation", choices=("raw_ids", "usable_ids"))
+    p.add_argument("--truncation", type=lambda x: x.replace("-", "_"), choices=("raw_ids", "usable_ids"))
+    p.add_argument("--revision", help="of the source; recorded")
+    p.add_argument("--trained-mrl-dims", type=lambda x: [int(n) for n in x.split(",")], help="1024,512,...; recorded")
     for name in ("verify", "inspect"):
         commands.add_parser(name).add_argument("path")
     for name in ("tokenize", "embed"):
@@ -31,7 +37,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser.parse_args(argv)
     try:
         if a.command == "convert":
-            container.save(container.convert(a.source, a.dimensions, a.max_tokens, a.truncation, a.id), a.out)
+            container.save(container.convert(a.source, a.dimensions, a.max_tokens, a.truncation, a.id, a.revision, a.trained_mrl_dims), a.out)
             print(json.dumps(container.inspect(a.out)))
         elif a.command == "verify":
             good, stored, computed = container.verify(a.path)
@@ -51,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
                 unk = ids.count(m.unk_id)
                 if ids and unk / len(ids) > 0.3:
                     print(f"warning: {unk} of {len(ids)} tokens are unknown", file=sys.stderr)
+                if (n := len(a.text.split())) and len(ids) / n > 2.5:
+                    print(f"warning: {len(ids)} tokens for {n} words", file=sys.stderr)
                 print(json.dumps({"token_count": len(ids), "unk_count": unk, "truncated": cut, "vector": [round(float(x), 6) for x in pool(model, ids)[0]]}))
     except Error as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)

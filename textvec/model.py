@@ -48,6 +48,8 @@ class Model:
     tokens: tuple[str, ...]
     matrix: np.ndarray
     provenance: dict = field(default_factory=dict)
+    path: str | None = None  # of the container that it was loaded from
+    mapped_bytes: int = 0  # of the container that are mapped
 
     def __post_init__(self):
         validate(self)
@@ -68,6 +70,18 @@ class Model:
     def normalized(self) -> bool:
         return self.meta.normalization == "l2"
 
+    @property
+    def truncation(self) -> str:
+        return self.meta.truncation
+
+    @property
+    def lowercase(self) -> bool:
+        return self.meta.lowercase
+
+    @property
+    def unk_id(self) -> int:
+        return self.meta.unk_id
+
     @property
     def model_id(self) -> str | None:
         return self.provenance.get("model_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textvec.functions import codec
+from textvec.functions.hashing import fnv1a_column
 from textvec.functions.normalize import clean_column, normalize_column, words_column
 from textvec.model import SPECIAL, body, demo, is_continuation
 from textvec.operators import evaluate, search
@@ -202,10 +203,7 @@ def mapped_matrix(spark, d):
 
 @query(f"with {_VOCAB} select token, list_reduce([2166136261::bigint] || [p::bigint for p in [('0x' || hex(encode(token))[2 * k + 1:2 * k + 2])::bigint for k in range(octet_length(encode(token)))]], lambda h, b: (xor(h, b) * 16777619) & 4294967295) as hash from vocab")
 def fnv1a_hash(spark, d):
-    pairs = F.sequence(F.lit(1), F.length(F.encode("token", "utf-8")))
-    byte = lambda k: F.conv(F.hex(F.substring(F.encode("token", "utf-8"), k, F.lit(1))), 16, 10).cast("long")
-    step = lambda h, k: ((h.bitwiseXOR(byte(k))) * 16777619).bitwiseAND(4294967295)
-    return demo().vocab_frame(spark).select("token", F.aggregate(pairs, F.lit(2166136261).cast("long"), step).alias("hash"))
+    return demo().vocab_frame(spark).select("token", fnv1a_column("token").alias("hash"))
 
 
 # ---- tokenize ---------------------------------------------------------------------------------------------------

@@ -6,7 +6,8 @@ import hashlib
 import json
 import os
 import struct
-from dataclasses import asdict
+import unicodedata
+from dataclasses import asdict, replace
 
 import numpy as np
 
@@ -29,8 +30,11 @@ def save(model: Model, path: str) -> None:
     rest = header + bytes(-head % ALIGN) + b"".join(d + bytes(-len(d) % ALIGN) for d in (tokens, matrix))
     plain = _HEAD.pack(MAGIC, VERSION, len(header), bytes(32))
     digest = hashlib.sha256(plain + rest).digest()
-    with open(path, "wb") as f:
+    with open(path + ".part", "wb") as f:
         f.write(_HEAD.pack(MAGIC, VERSION, len(header), digest) + rest)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(path + ".part", path)  # maps of an older file keep what they have
 
 
 def _head(path: str) -> tuple[int, bytes]:
@@ -58,27 +62,37 @@ def verify(path: str) -> tuple[bool, str, str]:
 
 
 def load(path: str, verify_checksum: bool = False) -> Model:
+    """The model of a container. Its matrix is mapped, not read: pages come when rows are asked for."""
     size, _ = _head(path)
     if verify_checksum and not verify(path)[0]:
         raise InvalidModel("checksum mismatch")
-    with open(path, "rb") as f:
-        data = f.read()
+    whole = os.path.getsize(path)
     try:
-        header = json.loads(data[_HEAD.size : _HEAD.size + size])
+        if _HEAD.size + size > whole:
+            raise InvalidModel("header is cut off")
+        with open(path, "rb") as f:
+            f.seek(_HEAD.size)
+            header = json.loads(f.read(size))
         meta = Meta(**{**header["meta"], "added_tokens": tuple(header["meta"]["added_tokens"])})
         base = -(-(_HEAD.size + size) // ALIGN) * ALIGN
-        parts = {}
         spans = sorted((at, n, name) for name, (at, n) in header["sections"].items())
         end = 0
         for at, n, name in spans:
-            if at < end or at % ALIGN or n < 0 or base + at + n > len(data):
+            if at < end or at % ALIGN or n < 0 or base + at + n > whole:
                 raise InvalidModel(f"section {name} is out of place")
-            parts[name], end = data[base + at : base + at + n], at + n
-        tokens = tuple(json.loads(parts["tokens"]))
-        matrix = np.frombuffer(parts["matrix"], "<f4").reshape(meta.vocab_size, meta.dim)
+            end = at + n
+        if whole != base + end + -end % ALIGN:
+            raise InvalidModel("the file does not end with its last section")
+        (first, n), (second, m) = header["sections"]["tokens"], header["sections"]["matrix"]
+        with open(path, "rb") as f:
+            f.seek(base + first)
+            tokens = tuple(json.loads(f.read(n)))
+        if m != 4 * meta.vocab_size * meta.dim:
+            raise InvalidModel("the matrix has another size than the metadata say")
+        matrix = np.asarray(np.memmap(path, "<f4", "r", base + second, (meta.vocab_size, meta.dim)))
     except (ValueError, KeyError, TypeError, AttributeError) as e:
         raise InvalidModel(f"damaged model file: {e}") from e
-    return Model(meta, tokens, matrix, header.get("provenance", {}))
+    return Model(meta, tokens, matrix, header.get("provenance", {}), path, m)
 
 
 # ---- named models -----------------------------------------------------------------------------------------------
@@ -205,17 +219,22 @@ def audit_tokenizer(spec: dict) -> tuple[tuple[str, ...], dict]:
     if not isinstance(vocab, dict) or not all(isinstance(i, int) and not isinstance(i, bool) for i in vocab.values()) or sorted(vocab.values()) != list(range(len(vocab))):
         raise InvalidSource("token ids must be 0, 1, 2, ... without holes or repeats")
     for t in spec.get("added_tokens") or []:
-        if t.get("content") not in SPECIAL or not t.get("special") or t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or vocab.get(t["content"]) != t.get("id"):
+        if t.get("content") not in SPECIAL or not t.get("special") or t.get("normalized") is not False or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or vocab.get(t["content"]) != t.get("id"):
             raise InvalidSource(f"added token {t.get('content')!r} is not supported")
     added = tuple(t["content"] for t in spec.get("added_tokens") or [])
+    if len(set(added)) != len(added):
+        raise InvalidSource("an added token is declared twice")
+    if unknown := sorted(set(norm) - {"type", "clean_text", "handle_chinese_chars", "strip_accents", "lowercase"}):
+        raise InvalidSource(f"normalizer has unknown settings {unknown}")
     lower = bool(norm.get("lowercase"))
     strip = norm.get("strip_accents")
     facts = {"lowercase": lower, "strip_accents": lower if strip is None else bool(strip), "handle_chinese_chars": bool(norm.get("handle_chinese_chars")), "max_input_chars_per_word": model.get("max_input_chars_per_word", 100), "added_tokens": added}
     return tuple(sorted(vocab, key=vocab.__getitem__)), facts
 
 
-def convert(folder: str, dimensions: int | None = None, max_tokens: int | bool | None = None, truncation: str | None = None, model_id: str | None = None) -> Model:
-    """A model from a source folder, with the defaults of its kind."""
+def convert(folder: str, dimensions: int | None = None, max_tokens: int | bool | None = None, truncation: str | None = None, model_id: str | None = None, revision: str | None = None, trained_dims: list[int] | None = None) -> Model:
+    """A model from a source folder, with the defaults of its kind. ``revision`` and ``trained_dims``, the widths that the
+    source was trained for, are recorded only."""
     kind, root = detect(folder), os.path.realpath(folder)
     if kind == "model2vec":
         at, config = root, read_json(os.path.join(root, "config.json"))
@@ -248,9 +267,39 @@ def convert(folder: str, dimensions: int | None = None, max_tokens: int | bool |
     if truncation:
         defaults["truncation"] = truncation
     meta = Meta(matrix.shape[1], len(tokens), unk_id=tokens.index("[UNK]") if "[UNK]" in tokens else -1, max_token_chars=max(map(len, map(body, tokens)), default=0), **defaults, **facts)
-    digest = lambda p: hashlib.sha256(open(p, "rb").read()).hexdigest()  # noqa: E731, SIM115
-    model = Model(meta, tokens, matrix, {"model_id": model_id or os.path.basename(root), "source_kind": kind, "tensor_sha256": digest(weights_path)})
-    return model.sliced(dimensions) if dimensions else model
+    native = meta.dim
+    if trained_dims is not None and not (trained_dims and all(isinstance(n, int) and 1 <= n <= native for n in trained_dims)):
+        raise InvalidOption(f"trained dimensions must be in 1..{native}")
+    model = Model(meta, tokens, matrix)
+    model = model.sliced(dimensions) if dimensions else model
+    return replace(model, provenance=_provenance(model, kind, root, at, kinds, native, model_id, revision, trained_dims))
+
+
+def _provenance(model: Model, kind: str, root: str, at: str, kinds: dict, native: int, model_id: str | None, revision: str | None, trained_dims: list[int] | None) -> dict:
+    """What a container records of its source. Keys that say nothing of a source are left out."""
+    m = model.meta
+    files = {os.path.relpath(p, root): file_digest(p) for p in sorted(os.path.join(f, n) for f in {root, at} for n in _READ) if os.path.isfile(p)}
+    out = {
+        "model_id": model_id or os.path.basename(root), "source_kind": kind, "source_revision": revision, "source_files_sha256": files,
+        "native_dim": native, "output_dim": m.dim, "vocab_size": m.vocab_size, "max_tokens": m.max_tokens, "truncation": m.truncation, "unk_policy": m.unk_policy,
+        "normalize": model.normalized, "container_version": VERSION, "unicode_version": unicodedata.unidata_version,
+        "trained_dims": sorted(set(trained_dims), reverse=True) if trained_dims else None, "baked_weights": "weights" in kinds or None,
+        "baked_clusters": next(s[0] for n, (_, s, _, _) in kinds.items() if len(s) == 2) if "mapping" in kinds else None,
+    }
+    return {k: out[k] for k in sorted(out) if out[k] is not None}
+
+
+#: Files of a source folder that a conversion may read.
+_READ = ("config.json", "modules.json", "tokenizer.json", "tokenizer_config.json", "model.safetensors")
+
+
+def file_digest(path: str) -> str:
+    """SHA-256 of a file, a megabyte at a time."""
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            digest.update(part)
+    return digest.hexdigest()
 
 
 def bake(matrix: np.ndarray, rows: int, weights: np.ndarray | None, mapping: np.ndarray | None) -> np.ndarray:
@@ -270,4 +319,4 @@ def bake(matrix: np.ndarray, rows: int, weights: np.ndarray | None, mapping: np.
 
 def inspect(path: str) -> dict:
     m = load(path)
-    return {"model_id": m.model_id, "dim": m.dim, "vocab_size": m.vocab_size, "max_tokens": m.max_tokens, "truncation": m.meta.truncation, "normalized": m.normalized, "lowercase": m.meta.lowercase, "unk_policy": m.meta.unk_policy, "unk_id": m.meta.unk_id, "bytes": os.path.getsize(path)}
+    return {"model_id": m.model_id, "dim": m.dim, "vocab_size": m.vocab_size, "max_tokens": m.max_tokens, "truncation": m.truncation, "normalized": m.normalized, "lowercase": m.lowercase, "unk_policy": m.meta.unk_policy, "unk_id": m.unk_id, "bytes": os.path.getsize(path), "provenance": m.provenance}
