@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textvec.errors import EmptyInput, InvalidOption
+from textvec.errors import EmptyInput, EncodingError, InvalidOption
 from textvec.functions.codec import normalize_format, pack
 from textvec.functions.normalize import normalize, words
 from textvec.model import Model, body, is_continuation
@@ -95,6 +95,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def bytes_ids(own: Tokenizer, raw: bytes, limit: int, usable: bool) -> list[int]:
+    """The ids of UTF-8 bytes; with ``limit``, of a beginning that has more than the limit, if there is one. It ends at a
+    space, where a text can be cut without changing what comes before, and doubles until it is long enough."""
+    take = min(max(16 * limit, 4096), 65536)
+    while limit and take < len(raw):
+        end = max(raw.rfind(space, 0, take) for space in (b" ", b"\t", b"\n", b"\r")) + 1
+        if end:
+            ids = own.ids(decode_utf8(raw[:end]))
+            if sum(i != own.meta.unk_id for i in ids) > limit if usable else len(ids) > limit:
+                return ids
+        take *= 2
+    return own.ids(decode_utf8(raw))
+
+
+def decode_utf8(raw: bytes) -> str:
+    try:
+        return raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise EncodingError(f"no UTF-8 at byte {e.start}") from e
+
+
 def capped(ids: list[int], limit: int, unk_id: int, usable: bool) -> tuple[list[int], bool]:
     """The ids that count, and whether some were cut: the first ``limit``, or up to the ``limit``-th that is known."""
     if not limit:
@@ -184,7 +205,14 @@ class Kernel:
         """Like ``embed_with_stats``, from token ids; ids out of range are an error."""
         return self._embed(max_tokens, True)(ids)
 
-    def _embed(self, max_tokens, from_ids: bool, kind: str = "float"):
+    def embed_bytes(self, raw: Column | str, max_tokens: int | bool | None = None, validate: str = "full") -> Column:
+        """Like ``embed_with_stats``, from the bytes of UTF-8 texts. ``validate`` ``full`` refuses any byte that is no UTF-8;
+        ``prefix`` reads, and so checks, no more of a text than its limit needs."""
+        if validate not in ("full", "prefix"):
+            raise InvalidOption(f"validate must be full or prefix, not {validate!r}")
+        return self._embed(max_tokens, False, read=validate)(raw)
+
+    def _embed(self, max_tokens, from_ids: bool, kind: str = "float", read: str | None = None):
         shared, limit = self.shared, limit_of(self.model, max_tokens)
 
         @F.pandas_udf(f"struct<vec: array<{kind}>, {STATS.replace(' ', ': ').replace(',: ', ', ')}>")
@@ -198,7 +226,10 @@ class Kernel:
                     if x is None:
                         rows.append((None, None, None, None, None))
                         continue
-                    ids = [int(i) for i in x] if from_ids else own.ids(x, limit if limit and not usable else None)
+                    if read:
+                        ids = bytes_ids(own, bytes(x), limit if read == "prefix" else 0, usable)
+                    else:
+                        ids = [int(i) for i in x] if from_ids else own.ids(x, limit if limit and not usable else None)
                     ids, cut = capped(ids, limit, m.unk_id, usable)
                     vec, used = pool(model, ids)
                     rows.append((vec.tolist(), len(ids), ids.count(m.unk_id), used, cut))

@@ -1,4 +1,4 @@
-"""Runs of consecutive numbers."""
+"""Runs of consecutive numbers, and checks of order."""
 
 from __future__ import annotations
 
@@ -33,3 +33,12 @@ def coalesce_ranges(numbers: DataFrame, col: str, block: int = BLOCK, steps: int
 def _runs(n: DataFrame, order: Window, key) -> DataFrame:
     island = n.select(key.alias("key"), "n", (F.col("n") - F.row_number().over(order)).alias("island"))
     return island.groupBy("key", "island").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).select("lo", "hi")
+
+
+def unsorted_neighbours(rows: DataFrame, position: str, value: str) -> DataFrame:
+    """position, value, next of the rows at ``position`` that do not come strictly before the row at ``position`` + 1.
+
+    Neighbours meet by an equi-join on the position, so no task sees the whole order. Nulls are never in order."""
+    a = rows.select(F.col(position).alias("position"), F.col(value).alias("value"))
+    b = rows.select((F.col(position) - 1).alias("position"), F.col(value).alias("next"))
+    return a.join(b, "position").where(~F.coalesce(F.col("value") < F.col("next"), F.lit(False)))

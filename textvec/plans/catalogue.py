@@ -11,7 +11,7 @@ from textvec.functions import codec
 from textvec.functions.hashing import fnv1a_column
 from textvec.functions.normalize import clean_column, normalize_column, words_column
 from textvec.model import SPECIAL, body, demo, is_continuation
-from textvec.operators import evaluate, search
+from textvec.operators import evaluate, quality, search
 from textvec.operators.embed import Kernel, embed_relational, spread
 from textvec.operators.ranges import coalesce_ranges
 
@@ -77,6 +77,24 @@ def cosine_topk_filtered(spark, d):
     return search.top_k(_vectors(spark, d).where("label = 3"), _first(spark, d), 10).select("rank", "row_id", _r())
 
 
+_AWAY = "list_sum([{of} for p in list_zip(q.e, embedding)])"
+
+
+@query(_PAIR.format(where=_ONE, score="-sqrt(" + _AWAY.format(of="pow(p[1]::double - p[2]::double, 2)") + ")") + _TOP.format(where=""))
+def euclidean_topk(spark, d):
+    return search.top_k(_vectors(spark, d), _first(spark, d), 10, "euclidean").select("rank", "row_id", _r())
+
+
+@query(_PAIR.format(where=_ONE, score="-" + _AWAY.format(of="abs(p[1]::double - p[2]::double)")) + _TOP.format(where=""))
+def manhattan_topk(spark, d):
+    return search.top_k(_vectors(spark, d), _first(spark, d), 10, "manhattan").select("rank", "row_id", _r())
+
+
+@query(_PAIR.format(where=_ONE, score=_C) + _TOP.format(where=""))
+def stored_norm_topk(spark, d):
+    return search.top_k(search.with_norms(_vectors(spark, d)), _first(spark, d), 10, norm_col="norm").select("rank", "row_id", _r())
+
+
 _BATCH = ", r as (select *, row_number() over (partition by query_id order by score desc, row_id)::int as rank from s) select query_id, rank, row_id, round(score, 5) + 0.0 as score from r where rank <= {k}"
 
 
@@ -144,12 +162,10 @@ def f16_roundtrip(spark, d):
     return cells.select("row_id", "dim", (F.round(F.col("x").cast("double"), 9) + 0.0).alias("value"))
 
 
-@query(f"with c as (select vec_id, unnest(embedding)::double as x from embeddings), h as (select vec_id, x, {_HALF.format(x='x')} as y from c), p as (select vec_id, sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)) as cos, max(abs(x - y)) as diff from h group by vec_id) select count(*) as rows, round(min(cos), 6) as min_cosine, round(avg(cos), 6) as mean_cosine, round(max(diff), 8) as max_abs from p")
+@query(f"with c as (select vec_id, unnest(embedding)::double as x from embeddings), h as (select vec_id, x, {_HALF.format(x='x')} as y from c), p as (select vec_id, sum(x * y) / sqrt(sum(x * x)) / sqrt(sum(y * y)) as cos, max(abs(x - y)) as diff, abs(sqrt(sum(x * x)) - sqrt(sum(y * y))) as delta from h group by vec_id) select count(*) as rows, round(min(cos), 6) as min_cosine, round(avg(cos), 6) as mean_cosine, round(max(diff), 8) as max_abs, round(max(delta), 6) as max_norm_delta from p")
 def f16_drift_stats(spark, d):
-    v = F.transform("vec", lambda x: x.cast("double"))
-    p = _vectors(spark, d).select(v.alias("x"), F.transform(v, codec.f16_column).alias("y"))
-    p = p.select(search.cosine(F.col("x"), F.col("y")).alias("cos"), F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))).alias("diff"))
-    return p.agg(F.count(F.lit(1)).alias("rows"), F.round(F.min("cos"), 6).alias("min_cosine"), F.round(F.avg("cos"), 6).alias("mean_cosine"), F.round(F.max("diff"), 8).alias("max_abs"))
+    q = quality.half_float_quality(_vectors(spark, d))
+    return q.select("rows", F.round("min_cosine", 6).alias("min_cosine"), F.round("mean_cosine", 6).alias("mean_cosine"), F.round("max_abs", 8).alias("max_abs"), F.round("max_norm_delta", 6).alias("max_norm_delta"))
 
 
 @query((_PAIR.format(where=_ONE, score=_D) + _TOP.format(where="")).replace("embedding as e", f"[{_HALF.format(x='x::double')} for x in embedding] as e").replace("q, embeddings)", f"q, (select vec_id, label, [{_HALF.format(x='x::double')} for x in embedding] as embedding from embeddings))"))
@@ -300,6 +316,15 @@ def pieces_per_word(spark, d):
     return docs.groupBy("lang").agg(F.round(F.sum("s.token_count") / F.sum("w"), 6).alias("pieces"))
 
 
+@query(
+    f"with {_PIECES}, n as (select doc_id, count(*) as n, count(*) filter (where id = 1) as u from toks group by doc_id), w as (select doc_id, len([x for x in string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') if x <> '']) as w from documents), "
+    "s as (select lang, sum(u) / sum(n.n) as unk_ratio, sum(n.n) / sum(w.w) as tokens_per_word from documents join n using (doc_id) join w using (doc_id) group by lang) select lang, round(unk_ratio, 6) as unk_ratio, round(tokens_per_word, 6) as tokens_per_word, unk_ratio > 0.3 or tokens_per_word > 2.5 as unsafe from s"
+)
+def language_safety(spark, d):
+    found = quality.language_safety(Kernel(spark, demo()), _texts(spark, d), ["lang"])
+    return found.select("lang", F.round("unk_ratio", 6).alias("unk_ratio"), F.round("tokens_per_word", 6).alias("tokens_per_word"), "unsafe")
+
+
 # ---- embed ------------------------------------------------------------------------------------------------------
 
 
