@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from textvec.errors import InvalidOption
+from textvec.operators import block_scan
 
 #: Queries in one block of a batched search; the broadcast is bounded by it.
 BLOCK = 4096
@@ -88,7 +90,8 @@ def top_k_batched(rows: DataFrame, queries: DataFrame, k: int | None, metric: st
     """query_id, rank, row_id, score for every query; ``k`` None ranks all rows. Zero queries have no cosine.
 
     Queries are taken in blocks of about ``BLOCK``, dealt by a hash of their id: each block meets every row once, and a per-query limit within the
-    tasks comes before the shuffle."""
+    tasks comes before the shuffle. Dot products and cosines with integer row ids and a ``k`` up to ``block_scan.MOST`` are found as products of matrices,
+    others pair by pair."""
     if k is not None and k < 1:
         raise InvalidOption("k must be positive")
     q = queries.select(F.col(query_col).alias("query_id"), F.col(vector_col).alias("q"))
@@ -96,9 +99,13 @@ def top_k_batched(rows: DataFrame, queries: DataFrame, k: int | None, metric: st
         q = q.where(square(F.col("q")) > 0)
     length = F.col(norm_col) if norm_col else F.lit(None).cast("double")
     slim, scored = rows.select(F.col(id_col).alias("row_id"), F.col(vector_col).alias("v"), length.alias("n")), None
+    matrices = k is not None and k <= block_scan.MOST and metric in ("dot", "cosine") and not norm_col and isinstance(slim.schema["row_id"].dataType, IntegralType)
     for block in _blocks(q):
-        pairs = slim.join(F.broadcast(block), F.size("v") == F.size("q"))
-        part = _admit(pairs.select("query_id", "row_id", _score(F.col("q"), F.col("v"), metric, F.col("n") if norm_col else None).alias("score")))
+        if matrices:
+            part = block_scan.best_rows(slim, block, k, metric)
+        else:
+            pairs = slim.join(F.broadcast(block), F.size("v") == F.size("q"))
+            part = _admit(pairs.select("query_id", "row_id", _score(F.col("q"), F.col("v"), metric, F.col("n") if norm_col else None).alias("score")))
         scored = part if scored is None else scored.unionByName(part)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "row_id", "score")
